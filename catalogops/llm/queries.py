@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import bpe, exact_dedup, line_dedup, mixing, secrets
+from catalogops.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, secrets
 from catalogops.llm.common import table
 
 
@@ -34,11 +34,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op6_line_dedup, op7_secrets, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op6_line_dedup, op7_secrets, op9_jaccard_join, op10_exact_dedup)}
 
 
 def _found(kind: str, pattern: str, group: int, least: int) -> str:
@@ -91,6 +95,7 @@ SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
   sha256(coalesce(string_agg(s, ',' ORDER BY start, o) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, o), '') AS spans
 FROM t LEFT JOIN named USING (doc_id) GROUP BY t.doc_id
 """,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
