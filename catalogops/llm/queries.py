@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, secrets
+from catalogops.llm import bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs
 from catalogops.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,6 +28,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -34,6 +49,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.train(docs.where(~language_id.held_out()))
+    marked = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identify(marked, net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
@@ -42,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op6_line_dedup, op7_secrets, op9_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_mixing, op4_fingerprints, op5_span_dedup, op6_line_dedup, op7_secrets, op8_language_id, op9_jaccard_join, op10_exact_dedup)}
 
 
 def _found(kind: str, pattern: str, group: int, least: int) -> str:
