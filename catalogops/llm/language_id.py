@@ -26,7 +26,7 @@ SAMPLE_ROWS = 4000
 EPOCHS = 6
 UNKNOWN = "und"
 #: Score below which the pipeline rejects a document.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 _PAD = -1e3
 _letter = re.compile(r"[^\W\d_]").search
 
