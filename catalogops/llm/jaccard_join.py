@@ -84,7 +84,6 @@ class Bands:
     def _until(self, size: int) -> None:
         while self.starts[-1] * self.percent <= size * 100:
             self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * BAND)))
-        self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * BAND)))
 
     def of(self, size: int) -> list[tuple[int, int, int]]:
         """(band, D, spare blocks) of each band in which a set of this size can meet a partner."""
