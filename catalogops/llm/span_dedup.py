@@ -36,7 +36,7 @@ MAX_CONTEXTS = 400
 #: Rows that pass 2 sorts at a time.
 SORT_ROWS = 20_000
 #: Bytes of text for each bucket of pass 1.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 FULL, HEAD, HOT = 0, 1, 2
 _U = np.uint64
@@ -163,6 +163,12 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _several(sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether a row's key occurs more than once."""
+    new = _starts(sorted_keys)
+    return ~(new & np.append(new[1:], True))
+
+
 def _piece_batches(batch: pa.RecordBatch):
     """Pieces of bounded size, with the rows' ids and tags and each row's text as bytes."""
     texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -189,11 +195,14 @@ def _first_pass(buckets: int):
                 size = np.array([len(t or b"") for t in texts], np.int64)[row]
                 hashed = context_hash(data, where, np.minimum(pos, LEFT), np.minimum(size - pos, WINDOW))
                 doc, tag = ids[row], tags[row]
-                order = np.lexsort((doc, hashed, gram))
+                order = np.argsort(gram)
+                same = order[_several(gram[order])]
+                same = same[np.lexsort((doc[same], hashed[same], gram[same]))]
+                new = _starts(gram[same], hashed[same])
+                later = np.zeros(len(gram), bool)
+                later[same] = doc[same] > doc[same][new][np.cumsum(new) - 1]
                 got = {"gram": gram[order], "context": hashed[order], "doc": doc[order], "tag": tag[order], "pos": pos[order]}
-                group = np.cumsum(_starts(got["gram"], got["context"])) - 1
-                least = got["doc"][np.flatnonzero(_starts(group))][group]
-                later = got["doc"] > least
+                later = later[order]
                 yield from _mark_rows(got["doc"][later], got["tag"][later], got["pos"][later] * 4 + FULL, buckets)
                 kept = {k: v[~later] for k, v in got.items()}
                 bucket = ((kept["gram"] >> _U(32)) * _U(buckets)) >> _U(32)
@@ -218,6 +227,11 @@ def _mark_rows(doc, tag, mark, buckets):
 def _settle_bucket(blobs: list[bytes], max_contexts: int) -> pa.RecordBatch:
     """Marks (doc, tag, position * 4 + kind) of a bucket: settled contexts, and heads that go on."""
     got = _unpack(blobs)
+    order = np.argsort(got["gram"])
+    order = order[_several(got["gram"][order])]  # the first digit alone settles most suffixes
+    got = {k: v[order] for k, v in got.items()}
+    if not len(order):
+        return pa.RecordBatch.from_pydict(_no_marks(0))
     order = np.lexsort((got["doc"], got["context"], got["gram"]))
     got = {k: v[order] for k, v in got.items()}
     new_gram, new_context = _starts(got["gram"]), _starts(got["gram"], got["context"])
