@@ -32,7 +32,7 @@ CONTEXT = LEFT + WINDOW
 #: Bytes of text whose hashes a task holds at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Contexts of one gram that one task sorts; grams with more are dealt by window.
-MAX_CONTEXTS = 400
+MAX_CONTEXTS = 4000
 #: Rows that pass 2 sorts at a time.
 SORT_ROWS = 20_000
 #: Bytes of text for each bucket of pass 1.
