@@ -136,7 +136,7 @@ def _from_planes(blob: bytes, at: int, n: int, width: int, kind) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
-_FIELDS = (("gram", 8, _U), ("context", 6, _U), ("doc", 8, np.int64), ("tag", 2, np.int64), ("pos", 5, np.int64))
+_FIELDS = (("gram", 6, _U), ("context", 6, _U), ("doc", 8, np.int64), ("tag", 2, np.int64), ("pos", 5, np.int64))
 _BYTES = sum(w for _, w, _ in _FIELDS)
 
 
@@ -207,6 +207,7 @@ def _first_pass(buckets: int):
                 kept = {k: v[~later] for k, v in got.items()}
                 bucket = ((kept["gram"] >> _U(32)) * _U(buckets)) >> _U(32)
                 edges = np.flatnonzero(_starts(bucket))
+                kept["gram"] >>= _U(16)  # the later passes compare the bytes themselves
                 rows = [_pack({k: v[a:b] for k, v in kept.items()}) for a, b in zip(edges, [*edges[1:], len(bucket)])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edges].astype(np.int64)), "blob": pa.array(rows, pa.binary()), **_no_marks(len(rows))})
 
@@ -481,10 +482,13 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.pmod(F.xxhash64(text_col), F.lit(1 << 16)), F.lit(0)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.pmod(F.xxhash64(text_col), F.lit(1 << 16)), F.lit(0)).cast("long").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    # The tag tells rows of one id apart; where no id repeats it is zero and takes no room.
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("tag", F.lit(0).cast("long"))
     # One exchange of the texts serves the three places that need them.
     texts = rows.repartition("id", "tag")
     marks = "doc long, tag long, mark long"
