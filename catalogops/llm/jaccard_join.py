@@ -38,7 +38,9 @@ BROADCAST_ROWS = 200_000
 #: Pairs of one centre that a task verifies before the centre is dealt to more tasks.
 PAIRS_PER_SALT = 100
 #: Star rounds at most before the remaining pairs across components are all tried.
-STAR_ROUNDS = 5
+STAR_ROUNDS = 2
+#: Pairs across components that are tried at once, besides four for each row of the buckets.
+PAIRS_AT_ONCE = 1_000_000
 
 _U = np.uint64
 
@@ -124,21 +126,28 @@ def block_keys(sets: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def bit_sketch(sets: np.ndarray, largest: int) -> np.ndarray:
+    """Parity bits of a set, about as many as the band's largest set has elements, as 64-bit words."""
+    words = -(-largest // 64)
+    bit = np.bincount((_mix(sets, 9) % _U(words * 64)).astype(np.int64), minlength=words * 64).astype(np.uint8) & 1
+    return np.packbits(bit).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(id, tag, n, node, keys)`` of each row ``(id, tag, text)``; equal sets have equal nodes.
+    """``(id, tag, n, node, keys, bands, bits)`` of each row ``(id, tag, text)``; equal sets have equal nodes.
 
-    A task gives a node's keys once while it remembers the node, so that copies add no keys.
+    A task gives a node's keys and sketches once while it remembers the node, so that copies add no keys.
     """
 
     def run(batches):
         words, bands, done = _Words(), Bands(percent), set()
         for batch in batches:
             for piece in slices(batch, "text"):
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, keys, own, bits = [], [], [], [], []
                 for text in piece.column("text").to_pylist():
                     found = shingles(text, n, words)
                     node = int(_signed(_mix(_mix(found, 11).sum(keepdims=True) + _U(len(found)), 12))[0]) if len(found) else None
@@ -150,11 +159,14 @@ def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes.append(len(found))
                     nodes.append(node)
                     keys.append(_signed(block_keys(found, bands)) if fresh else [])
+                    own.append([b for b, _, _ in bands.of(len(found))] if fresh else [])
+                    bits.append([bit_sketch(found, bands.starts[b + 1] - 1) for b in own[-1]])
                 yield pa.RecordBatch.from_pydict(
-                    {"id": piece.column("id"), "tag": piece.column("tag"), "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                    {"id": piece.column("id"), "tag": piece.column("tag"), "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
+                     "bands": pa.array(own, pa.list_(pa.int32())), "bits": pa.array(bits, pa.list_(pa.list_(pa.int64())))}
                 )
 
-    return rows.mapInArrow(run, "id long, tag long, n long, node long, keys array<long>")
+    return rows.mapInArrow(run, "id long, tag long, n long, node long, keys array<long>, bands array<int>, bits array<array<long>>")
 
 
 def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -184,6 +196,14 @@ def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _close(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bit sketches differ in no more bits than the sets of a linked pair can."""
+    side = lambda node, name: bits.select(F.col("node").alias(node), "band", F.col("own").alias(f"own_{name}"), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    both = pairs.join(side("a", "a").hint("merge"), "a").join(side("b", "b").hint("merge"), ["b", "band"]).where(F.col("band") == F.greatest("own_a", "own_b"))
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+
+
 def _texts(rows: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     """``(node, text)`` of the wanted nodes, each from its representative row."""
     found = written(known.join(wanted.hint("merge"), "node").select("node", "id", "tag"), "wanted-nodes")
@@ -236,12 +256,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reps = all_sets.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "tag")).alias("r"))
     known = reps.select("node", "r.id", "r.tag")
 
+    bits = all_sets.where(F.size("bands") > 0).select("node", "n", F.col("bands")[0].alias("own"), F.explode(F.arrays_zip("bands", "bits")).alias("s"))
+    bits = written(bits.select("node", "n", "own", F.col("s.bands").alias("band"), F.col("s.bits").alias("bits")).dropDuplicates(["node", "band"]), "bit-sketches")
+
     keys = all_sets.select("node", F.explode("keys").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
     buckets = written(keys.join(shared.hint("merge"), "key"), "buckets")
 
     pairs = written(buckets.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    tried, links = [pairs], [_verified(pairs, rows, known, n, percent)]
+    tried, links = [pairs], [_verified(written(_close(pairs, bits, percent), "close-pairs"), rows, known, n, percent)]
     for round_ in range(1, STAR_ROUNDS + 2):
         labels = _components(links)
         marked = buckets.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
@@ -252,7 +275,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if not left[1]:
             break
         members = marked.distinct()
-        last = left[0] <= 2e5 + 2 * left[1] or round_ > STAR_ROUNDS
+        last = left[0] <= PAIRS_AT_ONCE + 4 * left[1] or round_ > STAR_ROUNDS
         if last:
             other = members.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
             pairs = members.join(other.hint("merge"), "key").where("c < d").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
@@ -265,7 +288,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried.append(pairs)
-        links.append(_verified(pairs, rows, known, n, percent))
+        links.append(_verified(written(_close(pairs, bits, percent), "close-pairs"), rows, known, n, percent))
         if last:
             labels = _components(links)
             break
