@@ -213,14 +213,14 @@ def block_hash(bins: Column, bands: int = 4) -> Column:
     ``bins`` is an array of numbers, whose length ``bands`` divides into multiples of four.
     """
     width = (F.size(bins) / bands).cast("int")
+    # Each step binds what the next one uses, so that nothing is worked out once a bit.
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.slice(bins, b * width + 1, width))
+    sorted_ = F.transform(cut, lambda part: F.struct(part.alias("part"), F.array_sort(part).alias("order"), F.size(part).alias("n")))
 
-    def digits(band: Column) -> Column:
-        part = F.slice(bins, band * width + 1, width)
-        order = F.array_sort(part)
-        mid = (width / 2).cast("int")
-        median = F.when(width % 2 == 0, (F.element_at(order, mid) + F.element_at(order, mid + 1)) / 2).otherwise(F.element_at(order, mid + 1))
-        bit = lambda i: F.when(F.element_at(part, i) > median, 1).otherwise(0)
-        nibble = lambda k: bit(k * 4 + 1) * 8 + bit(k * 4 + 2) * 4 + bit(k * 4 + 3) * 2 + bit(k * 4 + 4)
-        return F.array_join(F.transform(F.sequence(F.lit(0), (width / 4).cast("int") - 1), lambda k: F.lower(F.hex(nibble(k)))), "")
+    def middle(s: Column) -> Column:
+        high, low = F.element_at(s.order, F.floor(s.n / 2).cast("int") + 1), F.element_at(s.order, F.ceil(s.n / 2).cast("int"))
+        return F.struct(s.part.alias("part"), ((low + high) / 2).alias("median"))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), digits), "")
+    bits = F.transform(F.transform(sorted_, middle), lambda s: F.transform(s.part, lambda x: F.when(x > s.median, F.lit("1")).otherwise(F.lit("0"))))
+    digits = lambda row: F.lower(F.lpad(F.conv(F.array_join(row, ""), 2, 16), F.floor((F.size(row) + 3) / 4).cast("int"), F.lit("0")))
+    return F.array_join(F.transform(bits, digits), "")
