@@ -87,7 +87,7 @@ def mix(
         joined = rows_.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__source")))
     else:
         salted = rows_.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        spread = table.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = table.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(spread.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__of")))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     count = F.aggregate(
