@@ -340,8 +340,8 @@ def set_membership(spark, sf_dir):
     return X.set_membership(fav, some, True).withColumn("kind", F.lit("added")).union(X.set_membership(fav, some, False).withColumn("kind", F.lit("removed")))
 
 
-@_query(_LOG + """, last AS (SELECT path, item, max(seq) AS at, arg_max(op, seq) AS op FROM log WHERE op <> 'toggle' GROUP BY ALL),
-odd AS (SELECT log.path, log.item, count(*) % 2 AS odd FROM log LEFT JOIN last USING (path, item) WHERE log.op = 'toggle' AND (at IS NULL OR seq > at) GROUP BY ALL),
+@_query(_LOG + """, last AS (SELECT path, item, max(seq) AS since, arg_max(op, seq) AS op FROM log WHERE op <> 'toggle' GROUP BY ALL),
+odd AS (SELECT log.path, log.item, count(*) % 2 AS odd FROM log LEFT JOIN last USING (path, item) WHERE log.op = 'toggle' AND (since IS NULL OR seq > since) GROUP BY ALL),
 base AS (SELECT DISTINCT path, item, 1 AS b FROM log WHERE path::int % 2 = 0),
 every AS (SELECT DISTINCT path, item FROM log)
 SELECT path, item FROM every LEFT JOIN last USING (path, item) LEFT JOIN odd USING (path, item) LEFT JOIN base USING (path, item)
@@ -427,7 +427,7 @@ def format_bytes(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", S.format_bytes(F.col("n_chars") * (F.col("doc_id") % 90)).alias("size"))
 
 
-@_query(_WITH + "SELECT doc_id, lang || '-' || lpad(length(doc_id::varchar)::varchar, 4, '0') || doc_id || regexp_extract(name, '\\.[^.]+$') AS key FROM catalog")
+@_query(_WITH + "SELECT doc_id, lang || '-' || lpad(length(doc_id::varchar)::varchar, 4, '0') || doc_id || replace(regexp_extract(name, '\\.[^.]+$'), '4', '00014') AS key FROM catalog")
 def natural_keys(spark, sf_dir):
     return _catalog(spark, sf_dir).select("doc_id", S.natural_key(F.col("name")).alias("key"))
 
