@@ -43,7 +43,12 @@ class Bpe:
         self.names = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.ids = {self._symbols(s): i for s, i in model["vocab"].items()}
         self.strings = {i: s for s, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        ends: dict[str, set[int]] = {}
+        for symbols in self.ids:
+            if len(symbols) > 2:
+                ends.setdefault(symbols[-3:], {1, 2}).add(len(symbols))
+        #: Lengths that a token with given last three symbols can have, longest first.
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.rank = {(self.ids[self._symbols(a)], self.ids[self._symbols(b)]): (r, self.ids[self._symbols(a + b)]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.agrees: dict[int, bool] = {}
         pieces = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -113,23 +118,31 @@ class PrefixTrie:
         self.bpe = bpe
         self.edges: dict[int, int] = {}
         self.last: list[int] = [-1]
+        self.before: tuple[str, list[int]] = ("", [0])
 
     def _last_token(self, word: str, depth: int, path: list[int]) -> int:
         bpe, last = self.bpe, self.last
-        for n in range(min(depth, bpe.longest), 0, -1):
-            token = bpe.ids.get(word[depth - n : depth])
+        for n in bpe.lengths.get(word[max(0, depth - 3) : depth], (2, 1)):
+            token = bpe.ids.get(word[depth - n : depth]) if n <= depth else None
             if token is not None and (n == depth or bpe.pair(last[path[depth - n]], token)):
                 return token
         raise ValueError(f"no token ends {word[:depth]!r}")
 
     def encode(self, word: str) -> list[int]:
         """Insert a word, given as symbols with its last one final, and read its tokens off the path."""
-        edges, last, node, path = self.edges, self.last, 0, [0]
+        edges, last = self.edges, self.last
         shared = len(word) <= LONG_WORD
-        for depth, symbol in enumerate(word, 1):
-            key = node << 14 | ord(symbol)
-            node = edges.get(key, 0) if shared else 0
+        before, path = self.before if shared else ("", [0])
+        depth, both = 0, min(len(word), len(before))
+        while depth < both and word[depth] == before[depth]:
+            depth += 1
+        path = path[: depth + 1]  # what the word before has in common is not walked again
+        node, known = path[-1], shared
+        for depth in range(depth + 1, len(word) + 1):
+            key = node << 14 | ord(word[depth - 1])
+            node = edges.get(key, 0) if known else 0
             if not node:
+                known = False  # below a new node all are new
                 node = len(last)
                 path.append(node)
                 last.append(self._last_token(word, depth, path))
@@ -137,6 +150,8 @@ class PrefixTrie:
                     edges[key] = node
             else:
                 path.append(node)
+        if shared:
+            self.before = word, path
         out, depth = [], len(word)
         while depth:
             token = last[path[depth]]
@@ -209,12 +224,12 @@ def decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str
 
     def work():
         names = _load(vocab_path).names
-        table = [names.get(i) for i in range(max(names) + 1)]
+        table = np.array([names.get(i) for i in range(max(names) + 2)], object)  # the last one stands for ids beyond
+        known = np.array([name is not None for name in table])
 
-        def one(ids: bytes | None) -> str:
-            if not ids:
-                return ""
-            return " ".join([s for i in np.frombuffer(ids, "<u4").tolist() if i < len(table) and (s := table[i]) is not None])
+        def one(packed: bytes | None) -> str:
+            ids = np.minimum(np.frombuffer(packed or b"", "<u4"), len(table) - 1)
+            return " ".join(table[ids[known[ids]]].tolist())
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             return [pa.array([one(x) for x in batch.column(ids_col).to_pylist()], pa.string())]
