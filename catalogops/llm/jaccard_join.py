@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import lower_az, slices
+from catalogops.llm.common import slices
 from catalogops.operators.components import connected_components
 from catalogops.plans.staging import discard, written
 
@@ -31,8 +31,10 @@ from catalogops.plans.staging import discard, written
 BAND = 1.5
 #: Sketches with this many other seeds serve sets that leave too many blocks empty.
 LEVELS = 3
-#: Word hashes, and nodes whose keys are out already, that a task remembers.
+#: Nodes whose keys are out already that a task remembers.
 REMEMBERED = 300_000
+#: Bytes of a text whose words are hashed at a time; a longer word is still whole.
+PIECE = 1 << 20
 #: Most rows of the map from wanted documents to nodes that is broadcast; above it the texts are shuffled.
 BROADCAST_ROWS = 200_000
 #: Pairs of one centre that a task verifies before the centre is dealt to more tasks.
@@ -53,28 +55,51 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """Word (bytes) to 64-bit hash."""
+_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
+_LETTER = _mix(np.arange(256, dtype=_U), 21)
+
+
+@lru_cache(maxsize=1)
+def _powers(count: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, _U), np.full(count - 1, 0x9E3779B97F4A7C1D, _U)]))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hash of each word in its order; bytes.lower() changes A-Z only."""
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    word = np.concatenate([[False], _WORD[data], [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, stop = edge[::2], edge[1::2]
+    cuts = [0, *(np.flatnonzero(np.diff(start // PIECE)) + 1).tolist(), len(start)]
+    out = [np.empty(0, _U)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        size = stop[a:b] - start[a:b]
+        first = np.cumsum(size) - size
+        letters = data[start[a] : stop[b - 1]][word[start[a] + 1 : stop[b - 1] + 1]]
+        place = np.arange(len(letters)) - np.repeat(first, size)
+        powers = _powers(1 << int(size.max() - 1).bit_length())
+        out.append(_mix(np.add.reduceat(_LETTER[letters] * powers[place], first) + size.astype(_U), 22))
+    return np.concatenate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
-def shingles(text: str | None, n: int, words: dict) -> np.ndarray:
+
+def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of n words; of all its words if it has fewer."""
-    found = lower_az(text or "").encode().split()
-    if not found:
-        return np.empty(0, _U)
-    h = np.fromiter(map(words.__getitem__, found), _U, len(found))
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
     n = min(n, len(h))
     count = len(h) - n + 1
     total = _mix(h[:count], 0)
     for i in range(1, n):
         total = _mix(total ^ h[i : count + i], i)
-    return np.unique(total)
+    return _distinct(total)
 
 
 class Bands:
@@ -144,12 +169,12 @@ def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        words, bands, done = _Words(), Bands(percent), set()
+        bands, done = Bands(percent), set()
         for batch in batches:
             for piece in slices(batch, "text"):
                 sizes, nodes, keys, own, bits = [], [], [], [], []
                 for text in piece.column("text").to_pylist():
-                    found = shingles(text, n, words)
+                    found = shingles(text, n)
                     node = int(_signed(_mix(_mix(found, 11).sum(keepdims=True) + _U(len(found)), 12))[0]) if len(found) else None
                     fresh = node is not None and node not in done
                     if fresh:
@@ -173,13 +198,13 @@ def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of rows ``(a, b, text_a, text_b)`` those pairs that link, as ``(a, b)``."""
 
     def run(batches):
-        words, sets = _Words(), OrderedDict()
+        sets = OrderedDict()
 
         def of(node, text):
             if node not in sets:
                 if len(sets) >= 32:
                     sets.popitem(last=False)
-                sets[node] = shingles(text, n, words)
+                sets[node] = shingles(text, n)
             return sets[node]
 
         for batch in batches:
@@ -188,7 +213,7 @@ def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
             keep = []
             for i in range(len(a)):
                 centre = of(b[i], tb[i].as_py())
-                other = shingles(ta[i].as_py(), n, words)
+                other = shingles(ta[i].as_py(), n)
                 both = len(np.intersect1d(other, centre, assume_unique=True))
                 keep.append(100 * both >= percent * (len(other) + len(centre) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
@@ -234,6 +259,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, perce
     return links
 
 
+def _linked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    close = written(_close(pairs, bits, percent), "close-pairs")
+    links = _verified(close, rows, known, n, percent)
+    discard(close)
+    return links
+
+
 def _components(links: list[DataFrame]) -> DataFrame:
     both = links[0]
     for more in links[1:]:
@@ -264,7 +296,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = written(keys.join(shared.hint("merge"), "key"), "buckets")
 
     pairs = written(buckets.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    tried, links = [pairs], [_verified(written(_close(pairs, bits, percent), "close-pairs"), rows, known, n, percent)]
+    tried, links = [pairs], [_linked(pairs, bits, rows, known, n, percent)]
     for round_ in range(1, STAR_ROUNDS + 2):
         labels = _components(links)
         marked = buckets.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
@@ -288,10 +320,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried.append(pairs)
-        links.append(_verified(written(_close(pairs, bits, percent), "close-pairs"), rows, known, n, percent))
+        links.append(_linked(pairs, bits, rows, known, n, percent))
+        discard(marked)
         if last:
             labels = _components(links)
             break
+    for used in (bits, buckets, *tried, *links):
+        discard(used)
     ids = known.join(labels.hint("merge"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     lowest = ids.groupBy("c").agg(F.min("id").alias("component_id"))
     of_node = ids.select("node", "c").join(lowest.hint("merge"), "c").select("node", "component_id")
