@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """Rows ``(node, component)`` for every node of ``edges``; component = smallest reachable node.
 
     Alternates the large-star and small-star steps, each a grouped minimum
-    joined back to the edge list, until the edges no longer change.  Only
+    joined back to the edge list, until every node hangs on one centre.  Only
     minima are aggregated, so a node with very many neighbours is combined
     map-side and never gathered.  Every round is written to the shared folder.
     Null ends and self loops give no edge; a node seen only in self loops is its
@@ -24,12 +24,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     nodes = written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    now, seen = nodes.where("u != v"), _checksum(nodes.where("u != v"))
-    while True:
+    now = nodes.where("u != v")
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _stars(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
+        # One exchange by u serves the distinct, the minimum and the join.
+        large = _stars(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             _stars(large, low)
@@ -39,18 +39,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .distinct()
         )
         after = written(small, "small-star")
-        discard(large)
         discard(now)
-        sums = _checksum(after)
         now = after
-        if sums == seen:
-            break
-        seen = sums
     alone = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return alone.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")).hint("merge"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node is the larger end of one edge at most, and then of no edge the smaller end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
