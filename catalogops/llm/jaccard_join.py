@@ -266,11 +266,16 @@ def _linked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, known: DataFrame
     return links
 
 
-def _components(links: list[DataFrame]) -> DataFrame:
-    both = links[0]
-    for more in links[1:]:
-        both = both.unionByName(more)
-    return written(connected_components(both, "a", "b"), "components")
+def _components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after more links; earlier components are single nodes of the new graph."""
+    if labels is None:
+        return written(connected_components(links, "a", "b"), "components")
+    label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")).hint("merge")
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+    merged = connected_components(ends, "c_a", "c_b").select(F.col("node").alias("c"), "component")
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("c_a").alias("c")), F.struct(F.col("b").alias("node"), F.col("c_b").alias("c")))).alias("e")).select("e.*")
+    known = labels.select("node", F.col("component").alias("c")).unionByName(new).distinct()
+    return written(known.join(merged.hint("merge"), "c", "left").select("node", F.coalesce("component", "c").alias("component")), "components")
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -297,8 +302,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     pairs = written(buckets.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     tried, links = [pairs], [_linked(pairs, bits, rows, known, n, percent)]
+    labels = _components(None, links[0])
     for round_ in range(1, STAR_ROUNDS + 2):
-        labels = _components(links)
         marked = buckets.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         open_keys = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         marked = written(marked.join(open_keys.hint("merge"), "key"), "open-buckets")
@@ -322,8 +327,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         tried.append(pairs)
         links.append(_linked(pairs, bits, rows, known, n, percent))
         discard(marked)
+        labels = _components(labels, links[-1])
         if last:
-            labels = _components(links)
             break
     for used in (bits, buckets, *tried, *links):
         discard(used)
