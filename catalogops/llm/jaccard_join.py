@@ -288,9 +288,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reaches only through their texts.  An empty table gives no rows; other
     columns are not used.  Sets are told apart by 64-bit hashes.
     """
+    found = _members(docs, id_col, text_col, n, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("r.id")).alias("component_id"))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """``(id, tag, n, node, r)`` of each row; r is the ``(id, tag)`` of its component's first row, null ids last, and null without shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     all_sets = written(sketches(rows, n, percent), "sketches")
-    reps = all_sets.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "tag")).alias("r"))
+    reps = all_sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("r"))
     known = reps.select("node", "r.id", "r.tag")
 
     bits = all_sets.where(F.size("bands") > 0).select("node", "n", F.col("bands")[0].alias("own"), F.explode(F.arrays_zip("bands", "bits")).alias("s"))
@@ -332,26 +338,32 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             break
     for used in (bits, buckets, *tried, *links):
         discard(used)
-    ids = known.join(labels.hint("merge"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
-    lowest = ids.groupBy("c").agg(F.min("id").alias("component_id"))
-    of_node = ids.select("node", "c").join(lowest.hint("merge"), "c").select("node", "component_id")
-    return (
-        all_sets.select("id", "n", "node")
-        .join(of_node.hint("merge"), "node", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    ids = known.join(labels.hint("merge"), "node", "left").select("node", "id", "tag", F.coalesce("component", "node").alias("c"))
+    lowest = ids.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("r"))
+    of_node = ids.select("node", "c").join(lowest.hint("merge"), "c").select("node", F.struct("r.id", "r.tag").alias("r"))
+    return all_sets.select("id", "tag", "n", "node").join(of_node.hint("merge"), "node", "left")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that with its smallest id.
+    """``docs`` with one row of each component: that with its smallest id, and of that id's texts the one with the smallest hash.
 
     Rows without shingles stay, and so does a row whose id is null unless it links to one with an id.
     Of rows that repeat the id and text of the one that stays, one stays.
     """
-    found = similarity_components(docs, id_col, text_col, n, percent).select(F.col(id_col).alias("__id"), "n_shingles", "component_id")
-    stay = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").agg((F.max("n_shingles") == 0).alias("__empty"))
-    marked = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return marked.select(*docs.columns)
+    first = F.col("id").eqNullSafe(F.col("r.id")) & ((F.col("tag") == F.col("r.tag")) | F.col("id").isNull())
+    found = _members(docs, id_col, text_col, n, percent).where(F.col("node").isNotNull() & first)
+    stay = written(found.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("__times")), "first-rows")
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    keys = [F.col(id_col).cast("long").alias("__own"), F.xxhash64(text_col).alias("__hash")]
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tag"))
+    rows = docs.where(~wordless).select("*", *keys)
+    out = docs.where(wordless).unionByName(rows.join(stay.where("__times = 1").hint("shuffle_hash"), same).select(*docs.columns))
+    again = stay.where("__times > 1")
+    if again.isEmpty():
+        return out
+    # Copies are combined map-side, before they meet what stays.
+    packed = rows.groupBy("__own", "__hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return out.unionByName(packed.join(again.hint("shuffle_hash"), same).select("__row.*"))
 
 
 #: Sets, links and components of `documents` under the defaults, for DuckDB; all pairs that share a shingle are compared.

@@ -116,6 +116,19 @@ def test_jaccard_components(spark, texts):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_one_of_each_takes_one_row_of_repeated_rows_and_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    near = a + " edited"
+    rows = [(1, a), (1, a), (1, a), (2, near), (3, b), (3, near), (4, c), (4, c + " edited"), (5, d), (None, d), (None, d), (None, e), (None, e), (6, ""), (6, ""), (None, None), (None, None), (7, " \t")]
+    docs = spark.createDataFrame([(i, t, f"lang{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=repr)
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and four[0] in rows
+    assert sorted([r for r in got if r[0] != 4], key=repr) == sorted([(1, a), (3, b), (5, d), (None, e), (6, ""), (6, ""), (None, None), (None, None), (7, " \t")], key=repr)
+    ids = {(r.doc_id, r.component_id) for r in jaccard_join.similarity_components(docs.where(F.col("text") == d)).collect()}
+    assert ids == {(5, 5), (None, 5)}
+
+
 def test_mixing_is_repeatable_and_near_its_target(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     got = mixing.mix(rows, weights={"a": 1.0, "b": 1.0}).cache()
