@@ -8,6 +8,9 @@ them.  A document's score joins its own evidence with what the other documents o
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,29 +28,47 @@ SAMPLE_ROWS = 4000
 BROADCAST_PATHS = 200_000
 KEEP_FROM = 0.5
 _NAMED = 8
-_KINDS = str.maketrans({c: "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "0" for c in "0123456789"})
+#: Symbols of a shape that make one feature; a longer shape makes several.
+PIECE = 12
+#: Longer words are not remembered.
+REMEMBERED_CHARS = 64
+_runs = re.compile(r"(.)\1\1+", re.DOTALL)
+
+
+class _Kinds(dict):
+    """Code point to its kind: letters and digits by kind, others as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "a" if c.isalpha() else c
+        return kind
 
 
 class _Shapes(dict):
-    """Word to the number of its shape: letters and digits by kind, at most two alike in a row."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        shape = "".join("a" if c.isalpha() and c not in "aA" else c for c in word[:64].translate(_KINDS))
-        short = "".join(c for i, c in enumerate(shape) if shape[max(0, i - 2) : i] != c * 2)[:12]
-        n = self[word] = _NAMED + xxhash.xxh32_intdigest(short.encode()) % SHAPES
+    """Word to the numbers of its shape's pieces: letters and digits by kind, at most two alike in a row, of the whole word."""
+
+    def __init__(self):
+        self.kinds = _Kinds()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        short = _runs.sub(r"\1\1", word.translate(self.kinds))
+        n = tuple(_NAMED + xxhash.xxh32_intdigest(short[i : i + PIECE].encode(), i > 0) % SHAPES for i in range(0, len(short), PIECE))
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = n
         return n
 
 
 def features(text: str | None, shapes: dict) -> np.ndarray:
-    """Shares of word shapes, and measures of repetition, length and signs, of the whole text."""
+    """Shares of pieces of word shapes, and measures of repetition, length and signs, of the whole text."""
     out = np.zeros(_NAMED + SHAPES, np.float32)
     text = text or ""
     words = text.split()
     n = len(words)
     if n:
-        out[:] = np.bincount(np.fromiter(map(shapes.__getitem__, words), np.int64, n), minlength=len(out)) / n
+        pieces = np.fromiter(chain.from_iterable(map(shapes.__getitem__, words)), np.int64)
+        out[:] = np.bincount(pieces, minlength=len(out)) / len(pieces)
         lines = text.split("\n")
         out[0] = len(set(words)) / n**0.75
         out[1] = sum(a == b for a, b in zip(words, words[1:])) / n

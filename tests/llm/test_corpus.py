@@ -178,3 +178,12 @@ def test_quality_shrinks_sparse_sites(spark):
     rows = [(float(i % 10 < 8), "big", "x") for i in range(400)] + [(float(i % 10 < 2), "bad", "x") for i in range(400)] + [(0.0, "tiny", "x"), (0.0, "tiny", "y")]
     got = {r.host: r for r in quality.site_scores(spark.createDataFrame(rows, "p double, host string, path string"), broadcast_paths=0).collect()}
     assert got["tiny"].path_posterior > got["bad"].path_posterior or abs(got["tiny"].path_posterior - 0.5) < 0.3
+
+
+def test_quality_sees_the_whole_of_a_long_word():
+    shapes = quality._Shapes()
+    seen = lambda t: quality.features(t, shapes).tolist()
+    start = "語" * 70
+    assert seen(start + "a1" * 40) != seen(start + "1A" * 40)
+    assert seen("a1-b2.c3_d4/" + "e5" * 9) != seen("a1-b2.c3_d4/" + "5E" * 9)
+    assert max(map(len, shapes)) <= 64 and abs(sum(seen("x" * 10 + "a1" * 5000)[8:]) - 1) < 1e-5
