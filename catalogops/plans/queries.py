@@ -120,6 +120,18 @@ def scan_union_distinct(spark, sf_dir):
     return C.union_scans([c.where(F.col("source").isin("src1", "src2")), c.where(F.col("source").isin("src2", "src3"))], "path").select("path")
 
 
+@_query(_WITH + "SELECT doc_id, path FROM catalog UNION ALL SELECT doc_id, path FROM catalog WHERE type = 'video'")
+def scan_union_whole(spark, sf_dir):
+    c = _catalog(spark, sf_dir).select("doc_id", "path", "type")
+    return C.union_scans([c, C.media_filter(c, "videos")]).drop("type")
+
+
+@_query(_WITH + "SELECT DISTINCT path FROM catalog")
+def scan_union_distinct_whole(spark, sf_dir):
+    c = _catalog(spark, sf_dir).select("path", "type")
+    return C.union_scans([c, C.media_filter(c, "videos")], "path").select("path")
+
+
 @_query(_WITH + "SELECT type, count(*) AS n_files, sum(size)::bigint AS total_bytes, count(*) FILTER (size > 1000) AS n_large FROM catalog GROUP BY type")
 def type_counts(spark, sf_dir):
     return _catalog(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_bytes"), F.count_if(F.col("size") > 1000).alias("n_large"))
@@ -217,6 +229,17 @@ def playlist_positions(spark, sf_dir):
     return rows.where((F.col("position") % 10 == 0) | F.col("path").contains("-17.")).select("path", "position")
 
 
+@_query(_WITH + f", {_LIST} SELECT path, position FROM list")
+def playlist_positions_whole(spark, sf_dir):
+    return _playlist(spark, sf_dir).select("path", "position")
+
+
+@_query(_WITH + f", {_LIST} SELECT path, position FROM list WHERE path = (SELECT path FROM catalog WHERE doc_id = 17)")
+def playlist_position_of(spark, sf_dir):
+    wanted = _catalog(spark, sf_dir).where("doc_id = 17").first()
+    return C.position_of(_playlist(spark, sf_dir), wanted.path if wanted else None)
+
+
 # -- duplicates
 
 

@@ -6,6 +6,7 @@ from catalogops.operators import catalog as C
 from catalogops.operators import duplicates as D
 from catalogops.operators import metadata as X
 from catalogops.operators.components import connected_components
+from catalogops.plans import queries as Q
 from catalogops.sources import media
 
 
@@ -80,3 +81,25 @@ def test_positions(spark):
     rows = C.numbered(spark.range(100).withColumn("k", F.hash("id")), [F.col("k").asc()])
     got = [r.k for r in rows.orderBy("position").collect()]
     assert got == sorted(got) and column(rows, "position") == list(range(1, 101))
+
+
+def matches_sql(spark, name, sf_dir="/root/testdata/sf0.001"):
+    """The query's rows, once they are those of its SQL over the same tables."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for table in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    df = Q.QUERIES[name](spark, sf_dir)
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(db.execute(f"SELECT {', '.join(df.columns)} FROM ({Q.ORACLE_SQL[name]})").fetchall())
+    return got
+
+
+def test_scans_and_positions_cover_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = docs.count()
+    union = matches_sql(spark, "scan_union_whole")
+    assert {r[0] for r in union} == {r.doc_id for r in docs.select("doc_id").collect()} and len(union) > n
+    assert len(matches_sql(spark, "scan_union_distinct_whole")) == n
+    assert sorted(r[1] for r in matches_sql(spark, "playlist_positions_whole")) == list(range(1, n + 1))
+    assert len(matches_sql(spark, "playlist_position_of")) == 1
