@@ -335,6 +335,25 @@ def save_plan(spark, sf_dir):
     return plan.select("dir", F.size(fav).cast("long").alias("n_favorites"), F.array_join(fav, ",").alias("favorites"))
 
 
+@_query(_WITH + """, placed AS (SELECT CASE WHEN lang = 'en' THEN '/lib/' || source || '/en' ELSE '/lib/' || source END AS dir, path FROM catalog WHERE source <> 'src0'),
+fav AS (SELECT dir, count(*) AS n, string_agg(substr(path, length(dir) + 2), ',' ORDER BY path) AS text FROM placed JOIN favorites USING (path) GROUP BY dir),
+tag AS (SELECT dir, count(*) AS n, string_agg(substr(path, length(dir) + 2) || ':' || array_to_string(tags, '|'), ',' ORDER BY path) AS text FROM placed JOIN tags USING (path) GROUP BY dir),
+dirs AS (SELECT dir FROM fav UNION SELECT dir FROM tag UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en')
+SELECT dir, coalesce(fav.n, 0) AS n_favorites, coalesce(fav.text, '') AS favorites, coalesce(tag.n, 0) AS n_tags, coalesce(tag.text, '') AS tags,
+  (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM catalog) AS tag_names FROM dirs LEFT JOIN fav USING (dir) LEFT JOIN tag USING (dir)""")
+def save_plan_whole(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    roots = c.where("source <> 'src0'").select(F.concat(F.lit("/lib/"), "source").alias("root")).distinct()
+    existing = c.where("lang = 'en'").select(F.concat(F.lit("/lib/"), "source", F.lit("/en")).alias("dir")).distinct()
+    plan = X.save_plan(_favorites(spark, sf_dir), _tags(spark, sf_dir), c.select(F.col("lang").alias("tag")).distinct(), roots, existing)
+    data = plan.select("dir", F.from_json("json", X.SIDECAR).alias("d"))
+    entries = F.transform(F.array_sort(F.map_entries("d.tags")), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "|")))
+    return data.select(
+        "dir", F.size("d.favorites").cast("long").alias("n_favorites"), F.array_join("d.favorites", ",").alias("favorites"),
+        F.size("d.tags").cast("long").alias("n_tags"), F.array_join(entries, ",").alias("tags"), F.array_join("d.tagNames", ",").alias("tag_names"),
+    )
+
+
 @_query(_WITH + """, flips AS (SELECT path FROM catalog JOIN events ON event_id % 1000 = doc_id % 1000 GROUP BY path HAVING count(*) % 2 = 1)
 SELECT path FROM catalog WHERE (path IN (SELECT path FROM favorites)) <> (path IN (SELECT path FROM flips))""")
 def toggled(spark, sf_dir):

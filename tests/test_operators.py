@@ -103,3 +103,14 @@ def test_scans_and_positions_cover_the_table(spark):
     assert len(matches_sql(spark, "scan_union_distinct_whole")) == n
     assert sorted(r[1] for r in matches_sql(spark, "playlist_positions_whole")) == list(range(1, n + 1))
     assert len(matches_sql(spark, "playlist_position_of")) == 1
+
+
+def test_save_plan_routes_tags(spark):
+    got = matches_sql(spark, "save_plan_whole")
+    assert any(r[3] and r[0].endswith("/en") for r in got) and any(r[3] and not r[0].endswith("/en") for r in got)
+    assert all(r[5] for r in got) and any("|toxic" in r[4] for r in got)
+    rows = lambda data, ddl: spark.createDataFrame(data, ddl)
+    tags = rows([("/lib/a/sub/x.jpg", ["t"]), ("/lib/a/y.jpg", ["u", "v"]), ("/lib/a/z.jpg", []), ("/out/w.jpg", ["t"])], "path string, tags array<string>")
+    plan = X.save_plan(rows([], "path string"), tags, rows([("t",), ("u",)], "tag string"), rows([("/lib/a",)], "root string"), rows([("/lib/a/sub",)], "dir string"))
+    data = {r.dir: r.d for r in plan.select("dir", F.from_json("json", X.SIDECAR).alias("d")).collect()}
+    assert {k: (d.tags, d.tagNames) for k, d in data.items()} == {"/lib/a": ({"y.jpg": ["u", "v"]}, ["t", "u"]), "/lib/a/sub": ({"x.jpg": ["t"]}, ["t", "u"])}
