@@ -8,8 +8,11 @@ D blocks therefore agrees in at least one block, and equal blocks meet by an equ
 A block is written as the XOR of its bits' hashes.  Candidates are verified on the texts.
 
 Inside a bucket of equal blocks not all pairs are tried: all members are first
-compared with one centre, linked ones get one component, and only members of
-different components are compared further.
+compared with one centre, the member that meets most others, and linked ones get one component.
+Members of different components are compared by their bit sketches in a
+small bucket.  A large one is split by the shingles in which its members
+differ from the centre, and each part is a bucket of its own, with another
+centre; of a part that is still large the chunks are compared two by two.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import slices
@@ -29,8 +32,8 @@ from catalogops.plans.staging import discard, written
 
 #: Ratio of a size band's ends.
 BAND = 1.5
-#: Sketches with this many other seeds serve sets that leave too many blocks empty.
-LEVELS = 3
+#: Share of blocks beyond those that can differ, so that few sets leave too many empty.
+SPARE = 0.03
 #: Nodes whose keys are out already that a task remembers.
 REMEMBERED = 300_000
 #: Bytes of a text whose words are hashed at a time; a longer word is still whole.
@@ -39,10 +42,9 @@ PIECE = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Pairs of one centre that a task verifies before the centre is dealt to more tasks.
 PAIRS_PER_SALT = 100
-#: Star rounds at most before the remaining pairs across components are all tried.
-STAR_ROUNDS = 2
-#: Pairs across components that are tried at once, besides four for each row of the buckets.
-PAIRS_AT_ONCE = 1_000_000
+#: Members of a bucket that one task compares by sketches; a bucket with more is split.
+SMALL = 256
+_NO_ID = -(2**63)
 
 _U = np.uint64
 
@@ -112,16 +114,32 @@ class Bands:
         while self.starts[-1] * self.percent <= size * 100:
             self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * BAND)))
 
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, D, spare blocks) of each band in which a set of this size can meet a partner."""
+    def most(self, size: int, partner: int) -> int:
+        """Largest symmetric difference of two linked sets of these sizes."""
+        return (size + partner) * (100 - self.percent) // (100 + self.percent)
+
+    def reach(self, size: int) -> int:
+        """Largest symmetric difference of a set of this size and any set it can link with."""
+        return self.most(size, size * 100 // self.percent)
+
+    def own(self, size: int) -> int:
         self._until(size)
-        out, own = [], int(np.searchsorted(self.starts, size, "right")) - 1
-        band = own
-        while band == own or self.starts[band] * self.percent <= size * 100:
-            largest = self.starts[band + 1] - 1
-            d = 2 * largest * (100 - self.percent) // (100 + self.percent)
-            if d:  # else only equal sets are similar enough
-                out.append((band, d, math.ceil(0.03 * (d + 1))))
+        return int(np.searchsorted(self.starts, size, "right")) - 1
+
+    def top(self, band: int) -> int:
+        return self.starts[band + 1] - 1
+
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, largest difference, blocks) of each band in which a set of this size can meet a partner other than its equal.
+
+        Two sets meet in the band of the larger one.
+        """
+        band, out = self.own(size), []
+        while self.starts[band] * self.percent <= size * 100:
+            top = self.top(band)
+            most, d = self.most(size, min(top, size * 100 // self.percent)), self.most(top, top)
+            if most:
+                out.append((band, most, d + 1 + math.ceil(SPARE * (d + 1))))
             band += 1
         return out
 
@@ -129,25 +147,20 @@ class Bands:
 def block_keys(sets: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of a set's sketch blocks; two linked sets share at least one.
 
-    At least 1 + spare blocks of two linked sets agree.  Empty blocks give no
-    key, as all sets would meet in them; a set with more empty blocks than
-    spare ones adds the keys of another sketch, the last of which counts empty blocks too.
+    Two linked sets differ in at most ``most`` blocks, so among the first blocks
+    of which ``most + 1`` hold shingles at least one is equal and not empty.
+    Only a set that has fewer such blocks in all gives keys of empty ones too, since all sets would meet in those.
     """
     out = []
-    for band, d, spare in bands.of(len(sets)):
-        blocks = d + 1 + spare
-        for level in range(LEVELS):
-            x = sets if not level else np.sort(_mix(sets, 100 + level))
-            block = ((x >> _U(32)) * _U(blocks)) >> _U(32)
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            parity = np.bitwise_xor.reduceat(_mix(x, 7), first)
-            salt = (band * LEVELS + level) * 1_000_003
-            out.append(_mix(parity + _mix(block[first], 3), salt))
-            if blocks - len(first) <= spare:
-                break
-            if level == LEVELS - 1:
-                empty = np.setdiff1d(np.arange(blocks, dtype=_U), block[first])
-                out.append(_mix(_mix(empty, 3), salt))
+    for band, most, blocks in bands.of(len(sets)):
+        block = ((sets >> _U(32)) * _U(blocks)) >> _U(32)
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        parity = np.bitwise_xor.reduceat(_mix(sets, 7), first)
+        salt = band * 1_000_003
+        out.append(_mix(parity[: most + 1] + _mix(block[first[: most + 1]], 3), salt))
+        if len(first) <= most:
+            empty = np.setdiff1d(np.arange(blocks, dtype=_U), block[first])
+            out.append(_mix(_mix(empty, 3), salt))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
@@ -163,7 +176,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(id, tag, n, node, keys, bands, bits)`` of each row ``(id, tag, text)``; equal sets have equal nodes.
+    """``(id, tag, n, node, keys, own, bands, bits)`` of each row ``(id, tag, text)``; equal sets have equal nodes.
 
     A task gives a node's keys and sketches once while it remembers the node, so that copies add no keys.
     """
@@ -172,7 +185,7 @@ def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
         bands, done = Bands(percent), set()
         for batch in batches:
             for piece in slices(batch, "text"):
-                sizes, nodes, keys, own, bits = [], [], [], [], []
+                sizes, nodes, keys, own, met, bits = [], [], [], [], [], []
                 for text in piece.column("text").to_pylist():
                     found = shingles(text, n)
                     node = int(_signed(_mix(_mix(found, 11).sum(keepdims=True) + _U(len(found)), 12))[0]) if len(found) else None
@@ -184,18 +197,19 @@ def sketches(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes.append(len(found))
                     nodes.append(node)
                     keys.append(_signed(block_keys(found, bands)) if fresh else [])
-                    own.append([b for b, _, _ in bands.of(len(found))] if fresh else [])
-                    bits.append([bit_sketch(found, bands.starts[b + 1] - 1) for b in own[-1]])
+                    own.append(bands.own(len(found)) if fresh else None)
+                    met.append([b for b, _, _ in bands.of(len(found))] if fresh else [])
+                    bits.append([bit_sketch(found, bands.top(b)) for b in met[-1]])
                 yield pa.RecordBatch.from_pydict(
                     {"id": piece.column("id"), "tag": piece.column("tag"), "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
-                     "bands": pa.array(own, pa.list_(pa.int32())), "bits": pa.array(bits, pa.list_(pa.list_(pa.int64())))}
+                     "own": pa.array(own, pa.int32()), "bands": pa.array(met, pa.list_(pa.int32())), "bits": pa.array(bits, pa.list_(pa.list_(pa.int64())))}
                 )
 
-    return rows.mapInArrow(run, "id long, tag long, n long, node long, keys array<long>, bands array<int>, bits array<array<long>>")
+    return rows.mapInArrow(run, "id long, tag long, n long, node long, keys array<long>, own int, bands array<int>, bits array<array<long>>")
 
 
-def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of rows ``(a, b, text_a, text_b)`` those pairs that link, as ``(a, b)``."""
+def _on_pairs(pairs: DataFrame, n: int, result: str, work) -> DataFrame:
+    """``work(set_a, set_b)`` of each row ``(a, b, text_a, text_b)`` whose result is not None, as ``(a, b, result)``."""
 
     def run(batches):
         sets = OrderedDict()
@@ -208,43 +222,54 @@ def _similar(pairs: DataFrame, n: int, percent: int) -> DataFrame:
             return sets[node]
 
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            keep = []
-            for i in range(len(a)):
-                centre = of(b[i], tb[i].as_py())
-                other = shingles(ta[i].as_py(), n)
-                both = len(np.intersect1d(other, centre, assume_unique=True))
-                keep.append(100 * both >= percent * (len(other) + len(centre) - both))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _close(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bit sketches differ in no more bits than the sets of a linked pair can."""
-    side = lambda node, name: bits.select(F.col("node").alias(node), "band", F.col("own").alias(f"own_{name}"), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    both = pairs.join(side("a", "a").hint("merge"), "a").join(side("b", "b").hint("merge"), ["b", "band"]).where(F.col("band") == F.greatest("own_a", "own_b"))
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
-
-
-def _texts(rows: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """``(node, text)`` of the wanted nodes, each from its representative row."""
-    found = written(known.join(wanted.hint("merge"), "node").select("node", "id", "tag"), "wanted-nodes")
-    keys = [F.coalesce(F.col("id"), F.lit(-(2**63))).alias("id"), "tag"]
-    right = found.select("node", *keys)
-    right = F.broadcast(right) if found.count() <= BROADCAST_ROWS else right.hint("shuffle_hash")
-    return rows.select(*keys, "text").join(right, ["id", "tag"]).select("node", "text")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of the pairs ``(a, b)``; b is the centre and may be that of many."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(_texts(rows, nodes, known).dropDuplicates(["node"]), "texts")
+            for piece in slices(batch, "text_a"):
+                a, b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
+                ta, tb = piece.column("text_a"), piece.column("text_b")
+                got = [work(shingles(ta[i].as_py(), n), of(b[i], tb[i].as_py())) for i in range(len(a))]
+                keep = pa.array([x is not None for x in got], pa.bool_())
+                made = pa.array(got, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), made], ["a", "b", "got"]).filter(keep)
+
+    return pairs.mapInArrow(run, "a long, b long, got array<long>").withColumnRenamed("got", result)
+
+
+def _links(pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those pairs that link, as ``(a, b)``."""
+
+    def work(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return [] if 100 * both >= percent * (len(x) + len(y) - both) else None
+
+    return _on_pairs(pairs, n, "link", work).select("a", "b")
+
+
+def _differences(pairs: DataFrame, n: int) -> DataFrame:
+    """``(a, b, differing)``: the shingles that only one of the two has."""
+    return _on_pairs(pairs, n, "differing", lambda x, y: _signed(np.setxor1d(x, y, assume_unique=True)))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, ref_a, ref_b)`` of pairs whose bit sketches differ in no more bits than the sets of a linked pair can."""
+    side = lambda x: nodes.select(*[F.col(c).alias(c if c == "node" else f"{c}_{x}") for c in nodes.columns]).withColumnRenamed("node", x).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    band = F.greatest("own_a", "own_b")
+    bits = lambda x: F.try_element_at(f"bits_{x}", F.array_position(f"bands_{x}", band).cast("int"))
+    known = F.array_contains("bands_a", band) & F.array_contains("bands_b", band)
+    differing = F.aggregate(F.zip_with(bits("a"), bits("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(F.when(known, differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b", "ref_a", "ref_b")
+
+
+def _with_texts(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, text_a, text_b)`` of the written pairs ``(a, b, ref_a, ref_b)``, and the written texts to discard; b may be in very many pairs."""
+    end = lambda x: F.struct(F.col(x).alias("node"), F.col(f"ref_{x}").alias("ref"))
+    wanted = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.node", F.coalesce("e.ref.id", F.lit(_NO_ID)).alias("id"), "e.ref.tag").dropDuplicates(["node"])
+    right = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    found = rows.select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "tag", "text").join(right, ["id", "tag"])
+    texts = written(found.select("node", "text").dropDuplicates(["node"]), "texts")
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
     left = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        pairs.select("a", "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         .join(many.hint("merge"), "b")
         .withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     )
@@ -254,15 +279,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, perce
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .drop("salts")
     )
-    links = written(_similar(left.join(right.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b"), n, percent), "links")
-    discard(texts)
-    return links
+    return left.join(right.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b"), texts
 
 
-def _linked(pairs: DataFrame, bits: DataFrame, rows: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    close = written(_close(pairs, bits, percent), "close-pairs")
-    links = _verified(close, rows, known, n, percent)
+def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs ``(a, b)``."""
+    close = written(_close(pairs, nodes, percent), "close-pairs")
+    both, texts = _with_texts(close, rows)
+    links = written(_links(both, n, percent), "links")
     discard(close)
+    discard(texts)
     return links
 
 
@@ -278,7 +304,123 @@ def _components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(known.join(merged.hint("merge"), "c", "left").select("node", F.coalesce("component", "c").alias("component")), "components")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def _stars(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(key, node, c, m, centre, d)`` of buckets ``(key, node)`` with several components: size, centre and its component.
+
+    The centre is the member that meets most others over all buckets, the likely
+    original of edited copies, so that few pairs find most links.
+    """
+    rows = buckets.join(labels.select("node", F.col("component").alias("c")).hint("merge"), "node", "left") if labels is not None else buckets.withColumn("c", F.lit(None).cast("long"))
+    rows = written(rows.select("key", "node", F.coalesce("c", "node").alias("c")).repartition("key").distinct(), "members")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "m")
+    rows_ = rows.join(sizes.hint("merge"), "key")
+    weight = rows_.groupBy("node").agg(F.sum("m").alias("w"))
+    centre = rows_.join(weight.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("w", "node", "c")).alias("o"))
+    stars = rows_.join(centre.select("key", F.col("o.node").alias("centre"), F.col("o.c").alias("d")).hint("merge"), "key")
+    out = written(stars.select("key", "node", "c", "m", "centre", "d"), "stars")
+    discard(rows)
+    return out
+
+
+def _still_open(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of stars, under new labels, of buckets that still have several components."""
+    label = lambda name, c: labels.select(F.col("node").alias(name), F.col("component").alias(c)).hint("merge")
+    now = stars.where("m > 2").drop("c", "d").join(label("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("c"))).alias("d")).where("low < high").select("key", "d")
+    return written(now.join(several.hint("merge"), "key"), "open-buckets")
+
+
+def _tries(stars: DataFrame) -> DataFrame:
+    """Each member with its bucket's centre, as ``(a, b)``."""
+    return stars.where("node != centre and c != d").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+
+def _whole(small: DataFrame) -> DataFrame:
+    """Buckets in which all members are compared; those with the centre have been tried."""
+    return small.where("node != centre").select("key", "node", "c", F.col("node").alias("side"))
+
+
+def _tiles(large: DataFrame, small: int) -> DataFrame:
+    """Buckets of about ``small`` members for each pair of a large one's chunks, which are its sides; members of a pair of equal chunks each have their own."""
+    chunks = F.ceil(F.col("m") * 2 / small).cast("long")
+    each = large.where("node != centre").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    key = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return each.select(key.alias("key"), "node", "c", F.when(F.col("chunk") == F.col("other"), F.col("node")).otherwise(F.col("chunk")).alias("side"))
+
+
+def _compared(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components and sides within buckets ``(key, node, c, side)`` whose bit sketches are close."""
+    rows = buckets.join(nodes.select("node", "n", "own", "bands", "bits").hint("merge"), "node")
+
+    def settle(table: pa.Table):
+        node, part, side, size, own = (table.column(c).to_numpy() for c in ("node", "c", "side", "n", "own"))
+        bands, bits = table.column("bands").to_pylist(), table.column("bits")
+        for band in set(own.tolist()):
+            has = [i for i, b in enumerate(bands) if band in b]
+            if len(has) < 2:
+                continue
+            sketch = np.stack([bits[i].values[bands[i].index(band)].values.to_numpy() for i in has]).view(_U)
+            has = np.array(has)
+            for k in range(len(has) - 1):
+                i, others = has[k], has[k + 1 :]
+                apart = np.bitwise_count(sketch[k] ^ sketch[k + 1 :]).sum(axis=1, dtype=np.int64)
+                near = (apart * (100 + percent) <= (size[i] + size[others]) * (100 - percent)) & (part[others] != part[i]) & (side[others] != side[i]) & (np.maximum(own[others], own[i]) == band)
+                if near.any():
+                    yield np.full(near.sum(), node[i]), node[others[near]]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            pairs = list(settle(pa.Table.from_batches(held).combine_chunks()))
+            a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in zip(edges, edges[1:]):
+                if held and low < high and held[0].column("key")[0].as_py() != key[low]:
+                    yield done()
+                    held.clear()
+                if low < high:
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield done()
+
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return written(found.distinct(), "pairs")
+
+
+def _split(large: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Buckets ``(key, node)`` that take the place of large ones: members that differ from the centre in one and the same shingle.
+
+    Let x be a member not linked to the centre and y another member.  If x and y
+    link, the sets in which they differ from the centre meet: were they disjoint,
+    x would be as far from y as from the centre and y together, which is
+    too far.  At most ``reach`` elements of either set are not in the other, so the first common
+    element is among the first ``reach + 1`` of both, in any order that both share.
+    Elements are ordered by how few members have them, so the new buckets are small.
+    """
+    bands = Bands(percent)
+    groups = large.where("node != centre").select(F.xxhash64("centre").alias("g"), F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    groups = written(groups, "large-buckets")
+    ref = lambda x: nodes.select(F.col("node").alias(x), F.col("ref").alias(f"ref_{x}"), *([F.col("n").alias("n")] if x == "a" else [])).hint("merge")
+    pairs = written(groups.select("a", "b").distinct().join(ref("a"), "a").join(ref("b"), "b"), "large-pairs")
+    both, texts = _with_texts(pairs, rows)
+    apart = written(_differences(both, n), "differences")
+    up = F.floor(F.col("n") * 100 / bands.percent)
+    reach = F.floor((F.col("n") + up) * (100 - bands.percent) / (100 + bands.percent)) + 1
+    each = groups.join(apart.hint("merge"), ["a", "b"]).join(pairs.select("a", "b", reach.alias("most")).hint("merge"), ["a", "b"]).select("g", "a", "most", F.explode("differing").alias("e"))
+    counted = each.groupBy("g", "e").agg(F.count("*").alias("times"))
+    ranked = each.join(counted.hint("merge"), ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "a").orderBy("times", "e")))
+    out = written(ranked.where("rank <= most and times > 1").select(F.xxhash64("g", "e").alias("key"), F.col("a").alias("node")), "buckets")
+    for used in (groups, pairs, texts, apart):
+        discard(used)
+    return out
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, small: int = SMALL) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id`` (the smallest id reachable by links).
 
     Words are runs without ASCII white space, A-Z lower-cased; two rows link
@@ -288,56 +430,44 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reaches only through their texts.  An empty table gives no rows; other
     columns are not used.  Sets are told apart by 64-bit hashes.
     """
-    found = _members(docs, id_col, text_col, n, percent)
+    found = _members(docs, id_col, text_col, n, percent, small)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("r.id")).alias("component_id"))
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, small: int = SMALL) -> DataFrame:
     """``(id, tag, n, node, r)`` of each row; r is the ``(id, tag)`` of its component's first row, null ids last, and null without shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    all_sets = written(sketches(rows, n, percent), "sketches")
-    reps = all_sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("r"))
-    known = reps.select("node", "r.id", "r.tag")
-
-    bits = all_sets.where(F.size("bands") > 0).select("node", "n", F.col("bands")[0].alias("own"), F.explode(F.arrays_zip("bands", "bits")).alias("s"))
-    bits = written(bits.select("node", "n", "own", F.col("s.bands").alias("band"), F.col("s.bits").alias("bits")).dropDuplicates(["node", "band"]), "bit-sketches")
-
-    keys = all_sets.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
-    buckets = written(keys.join(shared.hint("merge"), "key"), "buckets")
-
-    pairs = written(buckets.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    tried, links = [pairs], [_linked(pairs, bits, rows, known, n, percent)]
-    labels = _components(None, links[0])
-    for round_ in range(1, STAR_ROUNDS + 2):
-        marked = buckets.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        open_keys = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        marked = written(marked.join(open_keys.hint("merge"), "key"), "open-buckets")
-        by_part = marked.groupBy("key", "c").agg(F.countDistinct("node").cast("double").alias("m"))
-        left = by_part.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).agg(F.sum("pairs"), F.count("*")).first()
-        if not left[1]:
-            break
-        members = marked.distinct()
-        last = left[0] <= PAIRS_AT_ONCE + 4 * left[1] or round_ > STAR_ROUNDS
-        if last:
-            other = members.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-            pairs = members.join(other.hint("merge"), "key").where("c < d").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-        else:
-            order = F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "c")
-            centre = members.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.node").alias("b"), F.col("o.c").alias("d"))
-            pairs = members.join(centre.hint("merge"), "key").where("c != d").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-        pairs = pairs.distinct()
-        for done in tried:
-            pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried.append(pairs)
-        links.append(_linked(pairs, bits, rows, known, n, percent))
-        discard(marked)
-        labels = _components(labels, links[-1])
-        if last:
-            break
-    for used in (bits, buckets, *tried, *links):
-        discard(used)
+    sketched = written(sketches(rows, n, percent), "sketches")
+    all_sets = written(sketched.select("id", "tag", "n", "node"), "sets")
+    known = all_sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("r")).select("node", "r.id", "r.tag")
+
+    keys = sketched.select("node", F.explode("keys").alias("key")).repartition("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
+    # Where only two rows meet, one of them says it all.
+    buckets = written(keys.join(shared.hint("shuffle_hash"), "key").where("times > 2 or node > low"), "buckets")
+    met = buckets.select(F.explode(F.array("node", "low")).alias("node")).distinct()
+    nodes = sketched.where(F.col("own").isNotNull()).select("node", "n", "own", "bands", "bits").join(met.hint("shuffle_hash"), "node").dropDuplicates(["node"])
+    nodes = written(nodes.join(known.select("node", F.struct("id", "tag").alias("ref")).hint("merge"), "node"), "nodes")
+    discard(sketched)
+
+    stars = _stars(buckets.where("times > 2").select("key", "node"), None)
+    pairs = buckets.where("times = 2").select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(_tries(stars))
+    labels = _components(None, _linked(pairs.distinct(), nodes, rows, n, percent))
+    open_ = _still_open(stars, labels)
+    pairs = _compared(_whole(open_.where(F.col("m") <= small)), nodes, percent)
+    large = open_.where(F.col("m") > small)
+    used = [buckets, stars, open_, pairs]
+    if not large.isEmpty():
+        parts = _split(large, nodes, rows, n, percent)
+        stars = _stars(parts, labels)
+        labels = _components(labels, _linked(pairs.unionByName(_tries(stars)).distinct(), nodes, rows, n, percent))
+        open_ = _still_open(stars, labels)
+        pairs = _compared(_whole(open_.where(F.col("m") <= small)).unionByName(_tiles(open_.where(F.col("m") > small), small)), nodes, percent)
+        used += [parts, stars, open_, pairs]
+    if not pairs.isEmpty():
+        labels = _components(labels, _linked(pairs, nodes, rows, n, percent))
+    for table in (nodes, *used):
+        discard(table)
     ids = known.join(labels.hint("merge"), "node", "left").select("node", "id", "tag", F.coalesce("component", "node").alias("c"))
     lowest = ids.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("r"))
     of_node = ids.select("node", "c").join(lowest.hint("merge"), "c").select("node", F.struct("r.id", "r.tag").alias("r"))

@@ -99,8 +99,7 @@ def test_span_dedup(spark, texts, most):
         assert (bytes(got[i][0]), got[i][1]) == (bytes(x for x, h in zip(b, hit) if not h), sum(hit))
 
 
-def test_jaccard_components(spark, texts):
-    got = by_id(jaccard_join.similarity_components(corpus(spark, texts)), "n_shingles", "component_id")
+def brute_components(texts):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
@@ -113,7 +112,34 @@ def test_jaccard_components(spark, texts):
                     root[i] = root[j] = min(root[i], root[j])
         if all(root[root[i]] == root[i] for i in root):
             break
-    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+    return {i: (len(s), root[i]) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("small", [1, jaccard_join.SMALL])
+def test_jaccard_components(spark, texts, small):
+    got = by_id(jaccard_join.similarity_components(corpus(spark, texts), small=small), "n_shingles", "component_id")
+    assert got == brute_components(texts)
+
+
+@pytest.mark.parametrize("small", [3, 12])
+def test_jaccard_splits_large_buckets_of_edited_copies(spark, small):
+    """Copies of one text with so many edits that most are just below the threshold, and families among them."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+
+    def edited(words, n):
+        out = list(words)
+        for _ in range(n):
+            i = rng.randrange(len(out))
+            out[i : i + rng.choice((0, 1))] = [f"x{rng.randrange(10**6)}"]
+        return out
+
+    many = [edited(base, rng.randint(1, 6)) for _ in range(70)]
+    many += [edited(many[rng.randrange(70)], rng.randint(1, 2)) for _ in range(50)]
+    texts = [" ".join(w) for w in many]
+    got = by_id(jaccard_join.similarity_components(corpus(spark, texts), small=small), "n_shingles", "component_id")
+    want = brute_components(texts)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 100
 
 
 def test_one_of_each_takes_one_row_of_repeated_rows_and_ids(spark):
