@@ -117,12 +117,12 @@ def context_matrix(data: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 
 def context_hash(data: np.ndarray, where: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """48-bit hash of each anchor's context; zeros stand outside the text, so its lengths count too."""
+    """64-bit hash of each anchor's context; zeros stand outside the text, so its lengths count too."""
     words = np.ascontiguousarray(context_matrix(data, where)).view(_U)
     total = _mix((left * 64 + right).astype(_U) + _U(1))
     for i in range(words.shape[1]):
         total = total + _mix(words[:, i] * _WEIGHTS[i] + _U(i))
-    return _mix(total) >> _U(16)
+    return _mix(total)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -136,7 +136,8 @@ def _from_planes(blob: bytes, at: int, n: int, width: int, kind) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
-_FIELDS = (("gram", 6, _U), ("context", 6, _U), ("doc", 8, np.int64), ("tag", 2, np.int64), ("pos", 5, np.int64))
+#: A bucket has its grams by the upper half of their hash, so that the lower half tells them apart.
+_FIELDS = (("gram", 4, _U), ("context", 8, _U), ("doc", 8, np.int64), ("tag", 2, np.int64), ("pos", 5, np.int64))
 _BYTES = sum(w for _, w, _ in _FIELDS)
 
 
@@ -206,8 +207,10 @@ def _first_pass(buckets: int):
                 yield from _mark_rows(got["doc"][later], got["tag"][later], got["pos"][later] * 4 + FULL, buckets)
                 kept = {k: v[~later] for k, v in got.items()}
                 bucket = ((kept["gram"] >> _U(32)) * _U(buckets)) >> _U(32)
+                kept["gram"] &= _U(2**32 - 1)
+                order = np.lexsort((kept["gram"], bucket))
+                kept, bucket = {k: v[order] for k, v in kept.items()}, bucket[order]
                 edges = np.flatnonzero(_starts(bucket))
-                kept["gram"] >>= _U(16)  # the later passes compare the bytes themselves
                 rows = [_pack({k: v[a:b] for k, v in kept.items()}) for a, b in zip(edges, [*edges[1:], len(bucket)])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edges].astype(np.int64)), "blob": pa.array(rows, pa.binary()), **_no_marks(len(rows))})
 
@@ -291,7 +294,7 @@ def _valid_offsets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _second_pass(batches):
-    """Contexts of the heads, for each row (id, tag, text, marks); settled marks pass on as positions and offsets."""
+    """Contexts of the heads, for each row (id, tag, text, marks)."""
     for batch in batches:
         ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
         marks = batch.column("marks")
@@ -319,8 +322,6 @@ def _second_pass(batches):
 
 
 def _contexts(data, where, kind, left, right, offsets, doc, tag, pos):
-    settled = kind == FULL
-    yield _passed(doc[settled], tag[settled], pos[settled], offsets[settled])
     for at in range(0, len(where), SORT_ROWS):
         s = slice(at, at + SORT_ROWS)
         head = np.flatnonzero(kind[s] == HEAD) + at
@@ -347,7 +348,9 @@ def _contexts(data, where, kind, left, right, offsets, doc, tag, pos):
                 yield _passed(doc[gone], tag[gone], pos[gone], np.full(len(gone), 1 << o))
                 left_over = order[~later]
                 keep = rows[left_over]
-                yield _rows(key[left_over], context[has[left_over]], left[keep], right[keep], np.full(len(keep), 1 << o), doc[keep], tag[keep], pos[keep])
+                only = np.zeros((len(keep), CONTEXT), np.uint8)  # zeros around the window compress
+                only[:, LEFT - o : LEFT - o + WINDOW] = window[left_over]
+                yield _rows(key[left_over], only, left[keep], right[keep], np.full(len(keep), 1 << o), doc[keep], tag[keep], pos[keep])
 
 
 def _passed(doc, tag, pos, offsets) -> pa.RecordBatch:
@@ -440,16 +443,18 @@ def _second_groups(batches):
 
 
 def _cut(batches):
-    """Spans to remove and what is left of each text."""
+    """Spans to remove and what is left of each text, from the marks of both passes."""
     for batch in batches:
         kept, sizes, gone, spans = [], [], [], []
-        for text, marks in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks")):
+        for text, settled, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks"), batch.column("found")):
             text = text or b""
-            marks = marks.values.to_numpy() if marks.is_valid else np.zeros(0, np.int64)
+            settled, found = (m.values.to_numpy() if m.is_valid else np.zeros(0, np.int64) for m in (settled, found))
+            full = settled[settled & 3 == FULL] >> 2
+            pos = np.concatenate([full, found >> 31])
+            offsets = np.concatenate([_valid_offsets(np.minimum(full, LEFT), np.minimum(len(text) - full, WINDOW)), found & (2**31 - 1)])
             change = np.zeros(len(text) + 1, np.int32)
-            pos = marks >> 31
             for o in range(LEFT + 1):
-                at = pos[(marks >> o & 1) == 1] - o
+                at = pos[(offsets >> o & 1) == 1] - o
                 np.add.at(change, at, 1)
                 np.add.at(change, at + WINDOW, -1)
             inside = np.cumsum(change[:-1]) > 0
@@ -486,16 +491,19 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    # The tag tells rows of one id apart; where no id repeats it is zero and takes no room.
+    # The tag tells rows of one id apart; where no id repeats it is zero, takes no room and is no key.
+    keys = ["id", "tag"]
     if rows.groupBy("id").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("tag", F.lit(0).cast("long"))
-    # One exchange of the texts serves the three places that need them.
-    texts = rows.repartition("id", "tag")
+        rows, keys = rows.withColumn("tag", F.lit(0).cast("long")), ["id"]
+    # One exchange of the texts serves both joins.
+    texts = rows.repartition(*keys)
     marks = "doc long, tag long, mark long"
-    first = texts.mapInArrow(_first_pass(buckets), f"bucket long, blob binary, {marks}").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_groups(max_contexts), marks)
-    by_row = lambda m: m.groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list("mark").alias("marks"))
-    heads = texts.join(by_row(first).hint("shuffle_hash"), ["id", "tag"])
+    first = rows.mapInArrow(_first_pass(buckets), f"bucket long, blob binary, {marks}").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_groups(max_contexts), marks)
+    by_row = lambda m, name: m.select(F.col("doc").alias("id"), *keys[1:], "mark").groupBy(*keys).agg(F.collect_list("mark").alias(name))
+    # Settled marks go to the end at once; one exchange of the first marks serves both joins.
+    settled = by_row(first, "marks")
+    heads = texts.join(settled.hint("shuffle_hash"), keys)
     second = heads.mapInArrow(_second_pass, _ROW_DDL).repartition("key").sortWithinPartitions("key").mapInArrow(_second_groups, marks)
-    cut = texts.join(by_row(second).hint("shuffle_hash"), ["id", "tag"], "left")
+    cut = texts.join(settled.hint("shuffle_hash"), keys, "left").join(by_row(second, "found").hint("shuffle_hash"), keys, "left")
     out = cut.mapInArrow(_cut, "id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "kept", "n_bytes", "n_removed", "spans")
