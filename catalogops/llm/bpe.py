@@ -14,7 +14,10 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,10 +26,16 @@ from tokenizers import Tokenizer
 
 from catalogops.llm.common import with_arrow
 
-#: Trie nodes and cached words of a task; when passed, both start anew.
-MAX_NODES = 400_000
-#: Words longer than this are encoded along a path of their own.
+#: Encoded words that a task remembers; when passed, it starts anew.
+MAX_WORDS = 400_000
+#: Pairs of tokens of which a task remembers whether they stay apart.
+MAX_PAIRS = 1_000_000
+#: Characters of the texts whose distinct words make one trie; a longer text is still whole.
+TRIE_CHARS = 2 << 20
+#: Longer words are not remembered.
 LONG_WORD = 2048
+#: No text holds this character.
+RAW = "\ud800"
 #: Characters with their final form: the last byte of a word is another symbol than the same byte inside it.
 END = 0x1000
 
@@ -43,12 +52,13 @@ class Bpe:
         self.names = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.ids = {self._symbols(s): i for s, i in model["vocab"].items()}
         self.strings = {i: s for s, i in self.ids.items()}
-        ends: dict[str, set[int]] = {}
-        for symbols in self.ids:
-            if len(symbols) > 2:
-                ends.setdefault(symbols[-3:], {1, 2}).add(len(symbols))
-        #: Lengths that a token with given last three symbols can have, longest first.
-        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
+        self.sizes = {i: len(s) for s, i in self.ids.items()}
+        automaton = ahocorasick.Automaton()
+        for symbols, i in self.ids.items():
+            automaton.add_word(symbols, (len(symbols), i))
+        automaton.make_automaton()
+        #: (last place, (length, id)) of every token that stands anywhere in a word, by last place.
+        self.tokens_in = automaton.iter
         self.rank = {(self.ids[self._symbols(a)], self.ids[self._symbols(b)]): (r, self.ids[self._symbols(a + b)]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.agrees: dict[int, bool] = {}
         pieces = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -63,7 +73,7 @@ class Bpe:
         return token
 
     def pieces(self, text: str) -> list[str]:
-        """The words of a text in the byte alphabet, None-free; special tokens keep their own string."""
+        """The words of a text; special tokens keep their own string, and RAW stands before a word that is in the byte alphabet already."""
         out: list[str] = []
         for part in self.split(text):
             if part in self.special:
@@ -73,19 +83,25 @@ class Bpe:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() and not _CONTROL(text):
+        if text.isascii() or max(text) < "ɐ":  # already in NFC, with the same classes in every Unicode version
             return self.words(text.lower())
-        if max(text) < "ɐ":  # already in NFC, with the same classes in every Unicode version
-            return [w if w.isascii() and w.isprintable() else "".join(map(_BYTES.__getitem__, w.encode())) for w in self.words(text.lower())]
         text = self.library.normalizer.normalize_str(text)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [w if w.isascii() else RAW + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def symbols(self, word: str) -> str:
+        """A word of :meth:`pieces` in the byte alphabet, its last symbol final."""
+        if word[0] == RAW:
+            word = word[1:]
+        elif not (word.isascii() and word.isprintable()):
+            word = "".join(map(_BYTES.__getitem__, word.encode()))
+        return word[:-1] + chr(ord(word[-1]) + END)
 
     def pair(self, a: int, b: int) -> bool:
         """Whether the tokens a and b stay apart when their string is encoded."""
         key = a << 20 | b
         got = self.agrees.get(key)
         if got is None:
-            if len(self.agrees) > 2_000_000:
+            if len(self.agrees) > MAX_PAIRS:
                 self.agrees.clear()
             got = self.agrees[key] = self._merge(self.strings[a] + self.strings[b]) == [a, b]
         return got
@@ -108,57 +124,49 @@ def _byte_symbols() -> dict[int, str]:
 
 
 _BYTES = [_byte_symbols()[b] for b in range(256)]
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]").search
 
 
 class PrefixTrie:
-    """A trie of words whose nodes hold the last token of the prefix they stand for."""
+    """A depth-first walk over the trie of sorted words; of its nodes only the path to the last word is held."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
-        self.edges: dict[int, int] = {}
-        self.last: list[int] = [-1]
-        self.before: tuple[str, list[int]] = ("", [0])
-
-    def _last_token(self, word: str, depth: int, path: list[int]) -> int:
-        bpe, last = self.bpe, self.last
-        for n in bpe.lengths.get(word[max(0, depth - 3) : depth], (2, 1)):
-            token = bpe.ids.get(word[depth - n : depth]) if n <= depth else None
-            if token is not None and (n == depth or bpe.pair(last[path[depth - n]], token)):
-                return token
-        raise ValueError(f"no token ends {word[:depth]!r}")
+        self.word = ""
+        self.last = [-1]  # the last token of each prefix on the path, the empty one first
 
     def encode(self, word: str) -> list[int]:
-        """Insert a word, given as symbols with its last one final, and read its tokens off the path."""
-        edges, last = self.edges, self.last
-        shared = len(word) <= LONG_WORD
-        before, path = self.before if shared else ("", [0])
+        """Go to a word, given as symbols with its last one final, and read its tokens off the path.
+
+        What it shares with the word before is on the path already.
+        """
+        bpe, before, last = self.bpe, self.word, self.last
         depth, both = 0, min(len(word), len(before))
         while depth < both and word[depth] == before[depth]:
             depth += 1
-        path = path[: depth + 1]  # what the word before has in common is not walked again
-        node, known = path[-1], shared
-        for depth in range(depth + 1, len(word) + 1):
-            key = node << 14 | ord(word[depth - 1])
-            node = edges.get(key, 0) if known else 0
-            if not node:
-                known = False  # below a new node all are new
-                node = len(last)
-                path.append(node)
-                last.append(self._last_token(word, depth, path))
-                if shared:
-                    edges[key] = node
+        del last[depth + 1 :]
+        agrees = bpe.agrees.get
+        for end, (n, token) in bpe.tokens_in(word):
+            if end < depth:
+                continue
+            left = last[end + 1 - n]
+            if n > end:
+                good = True
             else:
-                path.append(node)
-        if shared:
-            self.before = word, path
-        out, depth = [], len(word)
+                good = agrees(left << 20 | token)
+                if good is None:
+                    good = bpe.pair(left, token)
+            if good:
+                last.append(token)
+                depth = end + 1
+        if depth < len(word):
+            self.word, self.last = "", [-1]
+            raise ValueError(f"no token ends {word[: depth + 1]!r}")
+        self.word = word
+        out, sizes = [], bpe.sizes
         while depth:
-            token = last[path[depth]]
+            token = last[depth]
             out.append(token)
-            depth -= len(self.bpe.strings[token])
-        if not shared:
-            del last[path[1] :]
+            depth -= sizes[token]
         return out[::-1]
 
 
@@ -172,22 +180,26 @@ class Encoder:
 
     def __init__(self, path: str):
         self.bpe = _load(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.trie = PrefixTrie(self.bpe)
-        self.packed = {s: np.array([i], "<u4").tobytes() for s, i in self.bpe.special.items()}
+        self.special = {s: struct.pack("<I", i) for s, i in self.bpe.special.items()}
+        self.packed = dict(self.special)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.trie.last) > MAX_NODES or len(self.packed) > MAX_NODES:
-            self._reset()
+        """Ids of texts, whose new words make one trie."""
+        if len(self.packed) > MAX_WORDS:
+            self.packed = dict(self.special)
         pieces = [self.bpe.pieces(t) for t in texts]
-        packed = self.packed
-        fresh = {w for words in pieces for w in words}.difference(packed)
-        for word in sorted(fresh):
-            tokens = self.trie.encode(word[:-1] + chr(ord(word[-1]) + END))
-            packed[word] = np.array(tokens, "<u4").tobytes()
-        return [b"".join(map(packed.__getitem__, words)) for words in pieces]
+        packed, long = self.packed, []
+        fresh = set(chain.from_iterable(pieces)).difference(packed)
+        trie = PrefixTrie(self.bpe)
+        for symbols, word in sorted((self.bpe.symbols(w), w) for w in fresh):
+            tokens = trie.encode(symbols)
+            packed[word] = struct.pack(f"<{len(tokens)}I", *tokens)
+            if len(word) > LONG_WORD:
+                long.append(word)
+        out = [b"".join(map(packed.__getitem__, words)) for words in pieces]
+        for word in long:
+            del packed[word]
+        return out
 
 
 def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -206,9 +218,15 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             out: list[bytes] = []
-            for i in range(0, len(texts), 256):
-                out += encoder.batch(texts[i : i + 256])
-            return [pa.array(out, pa.binary())]
+            part: list[str] = []
+            size = 0
+            for t in texts:
+                if part and size + len(t) > TRIE_CHARS:
+                    out += encoder.batch(part)
+                    part, size = [], 0
+                part.append(t)
+                size += len(t)
+            return [pa.array(out + encoder.batch(part), pa.binary())]
 
         return each
 
