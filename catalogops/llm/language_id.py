@@ -8,14 +8,13 @@ position is a row of a table, so a convolution is a sum of table rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import with_arrow
+from catalogops.llm.common import lowest, with_arrow
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -28,7 +27,7 @@ UNKNOWN = "und"
 #: Score below which the pipeline rejects a document.
 MIN_SCORE = 0.3
 _PAD = -1e3
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 class ByteCnn:
@@ -123,7 +122,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     text, chance = F.col(text_col), F.xxhash64(F.lit(3), id_col)
     place = F.pmod(chance, F.greatest(F.char_length(text) - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
     sample = docs.where(F.col(label_col).isNotNull() & text.isNotNull()).select(F.col(label_col).alias("label"), text.substr(place, F.lit(WINDOW)).alias("part"), chance.alias("h"))
-    taken = sample.orderBy("h", "label", "part").limit(rows).collect()
+    taken = lowest(sample, F.col("h"), rows, "label", "part").collect()
     if not taken:
         return None
     classes = sorted({r.label for r in taken})

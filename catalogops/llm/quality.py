@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import with_arrow
+from catalogops.llm.common import lowest, with_arrow
 from catalogops.plans.staging import written
 
 #: Hashed features of word shapes, besides the named ones.
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Only the sample's ids are broadcast and only its feature vectors (1 KB each) come to the driver.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    chosen = lowest(chosen, F.xxhash64("__id"), rows, "__id")
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
     vectors = with_arrow(sample, "x binary", "text", _feature_work, drop=("text",))
     got = vectors.orderBy("__id", "x").limit(2 * rows).collect()

@@ -36,7 +36,7 @@ def language(rows, net):
     """Rows with a letter whose windows, weighted by length, speak for one language with the least score."""
     out = []
     for r in rows:
-        if not re.search(r"[^\W\d_]", r[1] or ""):
+        if not any(map(str.isalpha, r[1] or "")):
             continue
         windows = language_id.byte_windows([r[1].encode()])
         z = np.average(net.logits(net.pooled(windows, net.tables())), axis=0, weights=(windows > 0).sum(1))
