@@ -13,9 +13,11 @@ DEDUPE_VIDEOS = ("mp4", "mov", "webm", "mkv", "ogg", "gifv")
 UPLOADS = ("jpg", "jpeg", "png", "webp", "gif", "heic", "heif", "mp4", "mov", "webm")
 SCALABLE = ("jpg", "jpeg", "png", "webp", "bmp", "heic", "heif")
 HEIC = ("heic", "heif")
+UPLOADED_VIDEO = ("mp4", "mov", "webm")
+EXIF = ("jpg", "jpeg", "png", "webp", "heic", "heif", "gif", "bmp")
 MIME = {
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp",
-    "heic": "image/heic", "heif": "image/heif", "mp4": "video/mp4", "webm": "video/webm", "ogg": "video/ogg", "mov": "video/quicktime",
+    "mp4": "video/mp4", "mov": "video/quicktime", "webm": "video/webm", "mkv": "video/x-matroska", "ogg": "video/ogg", "gifv": "video/mp4",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp",
 }
 #: Strictness level to distance in digits; level 0 is exact.
 LEVELS = {0: None, 1: 4, 2: 12, 3: 20}

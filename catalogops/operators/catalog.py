@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from catalogops.functions import scalars as S
 
 #: Events that are let in.
-ACTIONS = ("next", "prev", "toggle", "favorite")
-REACTIONS = ("❤️", "😂", "😮", "👏", "🔥")
+ACTIONS = ("next", "prev", "toggle-play", "favorite")
+REACTIONS = ("🎉", "❤️", "😂", "👏", "🔥")
 MAX_UPLOAD = 200 << 20
 
 
@@ -58,13 +58,13 @@ def append_absent(catalog: DataFrame, new: DataFrame) -> DataFrame:
 
 def under_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows whose path is one of the roots or lies below one, by an equi-join on the path's prefixes."""
-    pairs = rows.select("path", F.explode(S.ancestors(F.col("path"))).alias("root")).join(roots.select("root"), "root", "left_semi")
-    return rows.join(pairs.select("path").distinct(), "path", "left_semi")
+    pairs = rows.select("path", F.explode(S.ancestors(F.col("path"))).alias("root")).join(roots.select("root").distinct().hint("merge"), "root", "left_semi")
+    return rows.join(pairs.select("path").distinct().hint("merge"), "path", "left_semi")
 
 
 def deepest_owner(rows: DataFrame, dirs: DataFrame) -> DataFrame:
     """``(path, owner)``: the deepest of the dirs that holds each path; paths in none are left out."""
-    pairs = rows.select("path", F.explode(S.ancestors(S.dirname(F.col("path")))).alias("dir")).join(dirs.select("dir").distinct(), "dir")
+    pairs = rows.select("path", F.explode(S.ancestors(S.dirname(F.col("path")))).alias("dir")).join(dirs.select("dir").distinct().hint("merge"), "dir")
     return pairs.groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("owner"))
 
 
@@ -133,9 +133,10 @@ def position_of(playlist_: DataFrame, path: str) -> DataFrame:
     return playlist_.where(F.col("path") == path).select("path", "position")
 
 
-def upload_status(events: DataFrame, allowed: tuple[str, ...] = S.UPLOADS, limit: int = MAX_UPLOAD) -> DataFrame:
-    """Uploads with ``reject_reason``, null where accepted."""
-    reason = F.when(~S.extension(F.col("name")).isin(*allowed), "type").when(F.coalesce("size", F.lit(0)) <= 0, "empty").when(F.col("size") > limit, "too large")
+def upload_status(events: DataFrame, allowed: tuple[str, ...] = S.UPLOADS, limit: int = MAX_UPLOAD, root_allowed: Column | None = None) -> DataFrame:
+    """Uploads with ``reject_reason``, null where accepted; without an allowed root nothing is."""
+    reason = F.when(~F.coalesce(root_allowed, F.lit(False)), "root") if root_allowed is not None else F
+    reason = reason.when(~S.extension(F.col("name")).isin(*allowed), "type").when(F.coalesce("size", F.lit(0)) <= 0, "empty").when(F.col("size") > limit, "too large")
     return events.withColumn("reject_reason", reason)
 
 

@@ -18,11 +18,15 @@ def same_size(files: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(files: DataFrame, include_videos: bool = True) -> DataFrame:
-    """``(hash, path)`` of every member of a group of equal content; files ``(path, size, content[, type])``."""
-    rows = files.dropDuplicates(["path"])
+    """``(hash, path)`` of every member of a group of equal content; files ``(path, size, content[, type])``.
+
+    Content is digested where it is read, once, so that only paths, sizes and digests are shuffled.
+    """
+    rows = files.where(F.coalesce("size", F.lit(0)) > 0)
     if not include_videos and "type" in rows.columns:
         rows = rows.where("type = 'image'")
-    digests = same_size(rows).select(S.content_digest(F.col("content")).alias("hash"), "path").dropna()
+    rows = written(rows.select("path", "size", S.content_digest(F.col("content")).alias("hash")), "digests").dropDuplicates(["path"])
+    digests = written(same_size(rows).select("hash", "path").dropna(), "same-size-digests")
     groups = digests.groupBy("hash").count().where("count > 1").select("hash")
     return digests.join(groups.hint("merge"), "hash", "left_semi")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.functions import scalars as S
+from catalogops.plans.staging import written
 
 
 def delete_batch(catalog: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -21,23 +22,51 @@ def move_plan(selection: DataFrame, listing: DataFrame, dest: str) -> DataFrame:
     return rows.withColumn("first", first).join(taken, "dest_path", "left").select("path", "dest_path", F.when(F.col("taken").isNull() & F.col("first"), "ok").otherwise("conflict").alias("status"))
 
 
+def _family(name: Column) -> Column:
+    """What a name shares with all of its numbered forms and all names of which it is one."""
+    return F.concat(F.regexp_replace(S.stem(name), r"(-\d+)+$", ""), F.lit("."), S.extension(name))
+
+
+def _in_order(frame):
+    """Free names of one family's uploads and taken names, one upload after another."""
+    used = set(frame.loc[frame["ord"].isna(), "name"])
+    new = frame[frame["ord"].notna()].sort_values(["ord", "name"])
+    stored = []
+    for name in new["name"]:
+        base, dot, ext = name.rpartition(".")
+        free, n = name, 0
+        while free in used:
+            n += 1
+            free = f"{base}-{n}.{ext.lower()}" if dot else f"{name}-{n}"
+        used.add(free)
+        stored.append(free)
+    return new.assign(stored=stored)[["ord", "name", "stored"]]
+
+
 def free_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
-    """``(ord, name, stored)``: the name itself if free, else ``stem-n.ext`` with the smallest free n.
+    """``(ord, name, stored)``: in order of arrival the name itself if free, else ``stem-n.ext`` with the smallest free n.
 
-    The n-th upload of a name in arrival order gets the name's n-th free form.  Names that collide with another upload's
-    numbered form are settled batch by batch, by the caller's order.
+    The numbered form has its extension in lower case.  The n-th upload of a
+    name gets the name's n-th free form.  Where uploads of one batch have names
+    that are numbered forms of each other, these few families are settled one upload after another.
     """
-    rows = uploads.select("ord", "name", F.row_number().over(Window.partitionBy("name").orderBy("ord")).alias("nth"))
-    ext = F.when(S.extension(F.col("name")) != "", F.regexp_extract("name", r"(\.[^./\\]+)$", 1)).otherwise("")
-    form = lambda n: F.when(n == 0, F.col("name")).otherwise(F.concat(S.stem(F.col("name")), F.lit("-"), n.cast("string"), ext))
+    rows = uploads.select("ord", "name", F.row_number().over(Window.partitionBy("name").orderBy("ord")).alias("nth")).withColumn("family", _family(F.col("name")))
+    mixed = written(rows.groupBy("family").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("family"), "mixed-families")
     used = taken.select("name").distinct()
-    # As many forms as there are uploads and taken names of the same stem are enough.
-    clash = used.select(F.regexp_replace(S.stem(F.col("name")), r"-\d+$", "").alias("s")).groupBy("s").count()
-    need = rows.groupBy("name").agg(F.max("nth").alias("most")).withColumn("s", S.stem(F.col("name"))).join(clash, "s", "left")
+    plain = rows.join(mixed.hint("merge"), "family", "left_anti")
+    ext = F.when(S.extension(F.col("name")) != "", F.concat(F.lit("."), S.extension(F.col("name")))).otherwise("")
+    form = lambda n: F.when(n == 0, F.col("name")).otherwise(F.concat(S.stem(F.col("name")), F.lit("-"), n.cast("string"), ext))
+    # As many forms as there are uploads and taken names of the same family are enough.
+    clash = used.select(_family(F.col("name")).alias("family")).groupBy("family").count()
+    need = plain.groupBy("name", "family").agg(F.max("nth").alias("most")).join(clash.hint("merge"), "family", "left")
     forms = need.select("name", F.explode(F.sequence(F.lit(0), (F.col("most") + F.coalesce("count", F.lit(0)) + 1).cast("int"))).alias("n"))
-    forms = forms.withColumn("stored", form(F.col("n"))).join(used.select(F.col("name").alias("stored")), "stored", "left_anti")
+    forms = forms.withColumn("stored", form(F.col("n"))).join(used.select(F.col("name").alias("stored")).hint("merge"), "stored", "left_anti")
     ranked = forms.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("n")))
-    return rows.join(ranked.hint("merge"), ["name", "nth"]).select("ord", "name", "stored")
+    out = plain.join(ranked.hint("merge"), ["name", "nth"]).select("ord", "name", "stored")
+    kind = dict(uploads.dtypes)["ord"]
+    both = rows.select("ord", "name", "family").unionByName(used.select(F.lit(None).cast(kind).alias("ord"), "name", _family(F.col("name")).alias("family")))
+    settled = both.join(mixed.hint("merge"), "family", "left_semi").groupBy("family").applyInPandas(_in_order, f"ord {kind}, name string, stored string")
+    return out.unionByName(settled)
 
 
 def retention(files: DataFrame, budget: int) -> DataFrame:

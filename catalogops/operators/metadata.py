@@ -49,12 +49,13 @@ def save_plan(favorites: DataFrame, tags: DataFrame, words: DataFrame, roots: Da
     """``(dir, json)``: the sidecar to write in each owner dir.
 
     Entries go to the deepest dir that has a sidecar, else to their root;
-    those outside the roots and empty tag lists are skipped.  An owner without content is written only where a sidecar exists.
+    those outside the roots and empty tag lists are skipped, and so are sidecars outside them.  An owner without content is written only where a sidecar exists.
     The vocabulary, a list of words people chose, is copied to every file.
     """
+    existing = under_roots(existing.select(F.col("dir").alias("path")), roots).select(F.col("path").alias("dir"))
     dirs = existing.select("dir").union(roots.select(F.col("root").alias("dir"))).distinct()
     inside = lambda rows: under_roots(rows, roots)
-    placed = lambda rows: rows.join(deepest_owner(rows.select("path"), dirs), "path").withColumn("rel", S.relative_path(F.col("owner"), F.col("path")))
+    placed = lambda rows: rows.join(deepest_owner(rows.select("path"), dirs).hint("merge"), "path").withColumn("rel", S.relative_path(F.col("owner"), F.col("path")))
     fav = placed(inside(favorites.select("path"))).groupBy(F.col("owner").alias("dir")).agg(F.sort_array(F.collect_set("rel")).alias("favorites"))
     tag = placed(inside(tags.where(F.size("tags") > 0))).groupBy(F.col("owner").alias("dir")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rel", "tags")))).alias("tags"))
     names = words.agg(F.sort_array(F.collect_set("tag")).alias("tagNames"))

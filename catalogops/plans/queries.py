@@ -323,7 +323,7 @@ def vocabulary(spark, sf_dir):
 
 
 @_query(_WITH + """, owned AS (SELECT CASE WHEN lang = 'en' THEN '/lib/' || source || '/en' ELSE '/lib/' || source END AS dir, path FROM favorites JOIN catalog USING (path) WHERE source <> 'src0'),
-dirs AS (SELECT dir FROM owned UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en')
+dirs AS (SELECT dir FROM owned UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en' AND source <> 'src0')
 SELECT dirs.dir, count(path) AS n_favorites, coalesce(string_agg(substr(path, length(dirs.dir) + 2), ',' ORDER BY path), '') AS favorites FROM dirs LEFT JOIN owned ON owned.dir = dirs.dir GROUP BY dirs.dir""")
 def save_plan(spark, sf_dir):
     c = _catalog(spark, sf_dir)
@@ -338,7 +338,7 @@ def save_plan(spark, sf_dir):
 @_query(_WITH + """, placed AS (SELECT CASE WHEN lang = 'en' THEN '/lib/' || source || '/en' ELSE '/lib/' || source END AS dir, path FROM catalog WHERE source <> 'src0'),
 fav AS (SELECT dir, count(*) AS n, string_agg(substr(path, length(dir) + 2), ',' ORDER BY path) AS text FROM placed JOIN favorites USING (path) GROUP BY dir),
 tag AS (SELECT dir, count(*) AS n, string_agg(substr(path, length(dir) + 2) || ':' || array_to_string(tags, '|'), ',' ORDER BY path) AS text FROM placed JOIN tags USING (path) GROUP BY dir),
-dirs AS (SELECT dir FROM fav UNION SELECT dir FROM tag UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en')
+dirs AS (SELECT dir FROM fav UNION SELECT dir FROM tag UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en' AND source <> 'src0')
 SELECT dir, coalesce(fav.n, 0) AS n_favorites, coalesce(fav.text, '') AS favorites, coalesce(tag.n, 0) AS n_tags, coalesce(tag.text, '') AS tags,
   (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM catalog) AS tag_names FROM dirs LEFT JOIN fav USING (dir) LEFT JOIN tag USING (dir)""")
 def save_plan_whole(spark, sf_dir):
@@ -496,7 +496,7 @@ def camera_records(spark, sf_dir):
 
 
 @_query(_WITH + """SELECT doc_id, name AS base, '/lib/' || source || '/' || lang AS dir, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, lang || '-' || doc_id AS stem, 'src' || doc_id || '_.jpg' AS clean,
-  CASE lower(regexp_extract(name, '\\.([^.]+)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'mp4' THEN 'video/mp4' WHEN 'heic' THEN 'image/heic' WHEN 'webm' THEN 'video/webm' WHEN 'gif' THEN 'image/gif' ELSE 'application/octet-stream' END AS mime,
+  CASE lower(regexp_extract(name, '\\.([^.]+)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'mp4' THEN 'video/mp4' WHEN 'webm' THEN 'video/webm' WHEN 'gif' THEN 'image/gif' ELSE 'application/octet-stream' END AS mime,
   'media://local/lib/' || source || '/a%20b%23' || doc_id || '.jpg?w=4096' AS url, '/lib/' || lang || '/x' AS resolved FROM catalog""")
 def names_and_paths(spark, sf_dir):
     c = _catalog(spark, sf_dir)

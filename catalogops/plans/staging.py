@@ -23,6 +23,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "catalogops-scratch")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -50,16 +53,17 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing will read again."""
     path = getattr(df, "_catalogops_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        discard_path(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this driver; results read later are lost."""
     for path in list(_written):
-        _delete(spark, path)
+        discard_path(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written at a path of :func:`scratch_path`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in _written:

@@ -7,6 +7,7 @@ skips only dot names (unless asked), keeps empty files, does not follow links an
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,10 @@ class _Reader(DataSourceReader):
                     if partition.deep:
                         todo.append(e.path)
                 elif e.is_file(follow_symlinks=False):
-                    stat = e.stat(follow_symlinks=False)
+                    try:
+                        stat = e.stat(follow_symlinks=False)
+                    except OSError:  # it went after the listing
+                        continue
                     yield (e.path, e.name, stat.st_size, int(stat.st_mtime * 1000), "file", None)
 
 
@@ -92,14 +96,21 @@ def duplicate_candidates(spark: SparkSession, roots: list[str], kind: str = "ima
 
 
 def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``(dir, json)`` of every file of a (dot) name below a root; each task reads its own files."""
+    """``(dir, json)`` of every file of a (dot) name below a root; each task reads its own files, unreadable ones are left out."""
     rows = scan(spark, root, include_dot=True).where((F.col("name") == name) & (F.col("status") == "file")).select("path")
 
+    def text(path):
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                return f.read()
+        except OSError:
+            return None
+
     def read(frames):
         for frame in frames:
             frame["dir"] = frame["path"].map(os.path.dirname)
-            frame["json"] = frame["path"].map(lambda p: open(p, encoding="utf-8", errors="replace").read())
-            yield frame[["dir", "json"]]
+            frame["json"] = frame["path"].map(text)
+            yield frame.loc[frame["json"].notna(), ["dir", "json"]]
 
     return rows.mapInPandas(read, "dir string, json string")
 
@@ -125,11 +136,13 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def write_sidecars(plan: DataFrame, name: str) -> None:
-    """Write each ``(dir, json)`` of a save plan."""
+    """Write each ``(dir, json)`` of a save plan; a file is replaced as a whole, so that a lost task leaves the old one."""
 
     def put(rows):
         for r in rows:
-            with open(os.path.join(r.dir, name), "w", encoding="utf-8") as f:
+            part = os.path.join(r.dir, f"{name}.{uuid.uuid4().hex}")
+            with open(part, "w", encoding="utf-8") as f:
                 f.write(r.json)
+            os.replace(part, os.path.join(r.dir, name))
 
     plan.foreachPartition(put)

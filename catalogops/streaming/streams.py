@@ -23,7 +23,7 @@ def rejected_uploads(events: DataFrame) -> DataFrame:
 def name_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     """For ``foreachBatch``: the catalog with a batch of uploads under free names."""
     named = free_names(batch.select(F.col("ts").alias("ord"), "name"), catalog.select("name"))
-    new = named.select(F.col("stored").alias("name"), F.col("stored").alias("path"), S.media_type(F.col("stored")).alias("type"))
+    new = named.select(F.col("stored").alias("name"), F.col("stored").alias("path"), F.when(S.has_format(F.col("stored"), S.UPLOADED_VIDEO), "video").otherwise("image").alias("type"))
     return append_absent(catalog, new.select(*catalog.columns))
 
 

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from catalogops.functions import scalars as S
 from catalogops.operators import catalog as C
 from catalogops.operators import duplicates as D
+from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
 from catalogops.operators.components import connected_components
 from catalogops.plans import queries as Q
 from catalogops.sources import media
+from catalogops.streaming import streams as T
 
 
 def column(df, name):
@@ -114,3 +116,69 @@ def test_save_plan_routes_tags(spark):
     plan = X.save_plan(rows([], "path string"), tags, rows([("t",), ("u",)], "tag string"), rows([("/lib/a",)], "root string"), rows([("/lib/a/sub",)], "dir string"))
     data = {r.dir: r.d for r in plan.select("dir", F.from_json("json", X.SIDECAR).alias("d")).collect()}
     assert {k: (d.tags, d.tagNames) for k, d in data.items()} == {"/lib/a": ({"y.jpg": ["u", "v"]}, ["t", "u"]), "/lib/a/sub": ({"x.jpg": ["t"]}, ["t", "u"])}
+
+
+def test_free_names_never_meet(spark):
+    rows = [(1, "a.jpg"), (2, "a.jpg"), (3, "a-1.jpg"), (4, "B.JPG"), (5, "B.JPG"), (6, "b.png"), (7, "c.jpg"), (8, "c.jpg"), (9, "noext"), (10, "noext")]
+    taken = spark.createDataFrame([("c-1.jpg",), ("b.png",), ("a-1-1.jpg",)], "name string")
+    got = {r.ord: r.stored for r in M.free_names(spark.createDataFrame(rows, "ord long, name string"), taken).collect()}
+    want = ["a.jpg", "a-1.jpg", "a-1-2.jpg", "B.JPG", "B-1.jpg", "b-1.png", "c.jpg", "c-2.jpg", "noext", "noext-1"]
+    assert [got[i] for i in range(1, 11)] == want
+
+
+def test_sidecars_outside_the_roots_are_not_written(spark):
+    favorites = spark.createDataFrame([("/lib/a/x.jpg",), ("/other/y.jpg",)], "path string")
+    tags = spark.createDataFrame([("/lib/a/sub/z.jpg", ["beach"])], "path string, tags array<string>")
+    dirs = lambda *names: spark.createDataFrame([(n,) for n in names], "dir string")
+    plan = X.save_plan(favorites, tags, spark.createDataFrame([("beach",)], "tag string"), dirs("/lib").withColumnRenamed("dir", "root"), dirs("/lib/a/sub", "/other", "/lib2"))
+    got = {r.dir: r.d for r in plan.select("dir", F.from_json("json", X.SIDECAR).alias("d")).collect()}
+    assert set(got) == {"/lib", "/lib/a/sub"}
+    assert got["/lib"].favorites == ["a/x.jpg"] and got["/lib/a/sub"].tags == {"z.jpg": ["beach"]} and got["/lib"].tagNames == ["beach"]
+
+
+def test_fixed_lists(spark):
+    names = spark.createDataFrame([("a.MKV",), ("a.gifv",), ("a.heic",), ("a",), ("a.jpeg",)], "name string")
+    assert [r[0] for r in names.select(S.mime_type(F.col("name"))).collect()] == ["video/x-matroska", "video/mp4", "application/octet-stream", "application/octet-stream", "image/jpeg"]
+    assert "toggle-play" in C.ACTIONS and "\N{PARTY POPPER}" in C.REACTIONS and len(C.REACTIONS) == 5
+    up = spark.createDataFrame([("a.jpg", 5, True), ("a.exe", 5, True), ("a.jpg", 0, True), ("a.jpg", (200 << 20) + 1, True), ("a.jpg", 200 << 20, True), ("a.jpg", 5, False)], "name string, size long, ok boolean")
+    assert [r.reject_reason for r in C.upload_status(up, root_allowed=F.col("ok")).collect()] == [None, "type", "empty", "too large", None, "root"]
+
+
+def test_sidecars_are_written_and_read(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    plan = spark.createDataFrame([(str(tmp_path), '{"version":1}'), (str(tmp_path / "sub"), '{"version":2}')], "dir string, json string")
+    media.write_sidecars(plan, ".meta.json")
+    media.write_sidecars(plan.where(F.col("dir") == str(tmp_path)).withColumn("json", F.lit("{}")), ".meta.json")
+    got = {r.dir: r.json for r in media.sidecars(spark, str(tmp_path), ".meta.json").collect()}
+    assert got == {str(tmp_path): "{}", str(tmp_path / "sub"): '{"version":2}'} and sorted(p.name for p in tmp_path.iterdir()) == [".meta.json", "sub"]
+
+
+def streamed(spark, tmp_path, rows, ddl, work, mode="append"):
+    """Rows that a query gives on a stream of batches, each a file."""
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, ddl).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    name = f"out{abs(hash(str(tmp_path)))}"
+    query = work(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_upload_stream(spark, tmp_path):
+    at = "2024-01-01 00:00:0"
+    rows = [[(at + "1", "/r", "guest photo!.jpg", 5), (at + "2", "/r", "evil.exe", 5)], [(at + "3", "/r", "guest photo!.jpg", 9), (at + "4", "/r", "clip.mov", 1)]]
+    got = streamed(spark, tmp_path, rows, "ts string, root string, name string, size long", T.accepted_uploads)
+    assert sorted(r.name for r in got) == ["clip.mov", "guest photo_.jpg"]
+    batch = spark.createDataFrame([(1, "clip.mov"), (2, "a.jpg")], "ts long, name string")
+    named = T.name_batch(batch, spark.createDataFrame([("a.jpg", "a.jpg", "image")], "name string, path string, type string"))
+    assert sorted((r.name, r.type) for r in named.collect()) == [("a-1.jpg", "image"), ("a.jpg", "image"), ("clip.mov", "video")]
+
+
+def test_burst_and_latest_streams(spark, tmp_path):
+    at = "2024-01-01 00:00:0"
+    rows = [[(at + "1.0", "k", "a"), (at + "1.3", "k", "b"), (at + "3.0", "k", "c")], [("2024-01-01 01:00:00", "k", "d")]]
+    got = streamed(spark, tmp_path / "b", rows, "ts string, key string, value string", T.collapse_bursts)
+    assert sorted((r.value, r.n) for r in got) == [("b", 2), ("c", 1)]
+    last = streamed(spark, tmp_path / "l", rows, "ts string, key string, value string", T.latest_values, "complete")
+    assert [(r.key, r.value) for r in last] == [("k", "d")]
