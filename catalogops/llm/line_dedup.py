@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import lower_az, slices, with_arrow
-from catalogops.plans.staging import scratch_path, written
+from catalogops.plans.staging import discard_path, scratch_path, written
 
 #: What is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -40,11 +40,14 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.frequent: list[DataFrame] = []
+        self.names: list[tuple[str, str]] = []
 
     def _run(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.repartition(self.buckets, "k")
-        rows.write.bucketBy(self.buckets, "k").sortBy("k").option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        path = scratch_path(self.spark, name)
+        rows.write.bucketBy(self.buckets, "k").sortBy("k").option("path", path).saveAsTable(name)
+        self.names.append((name, path))
         return self.spark.table(name)
 
     def add(self, lines: DataFrame) -> None:
@@ -75,6 +78,13 @@ class LineRuns:
         return functools.reduce(DataFrame.unionByName, [run.select("k") for run in self.frequent], rest.select("k"))
 
 
+    def close(self) -> None:
+        """Drop the runs' tables, whose keys have been written elsewhere."""
+        for name, path in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
+            discard_path(self.spark, path)
+
+
 def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     """``(__id, __tag, at, k, first)`` for each line whose key is long enough; first: the document's first such line."""
 
@@ -123,13 +133,15 @@ def dedup_lines(
     replaced.  An empty table gives no rows.
     """
     tagged = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__tag"), F.col(text_col).alias("__text"))
-    lines = written(_lines(tagged.select("__id", "__tag", "__text"), min_chars), "lines")
+    batch = F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int").alias("batch")
+    lines = written(_lines(tagged.select("__id", "__tag", "__text"), min_chars).select("*", batch), "lines", "batch")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
-    batch = F.pmod(F.xxhash64("__id"), F.lit(batches))
     for b in range(batches):
-        runs.add(lines.where(F.col("first") & (batch == b)).select("k"))
+        runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("k"))
+    frequent = written(runs.keys(), "frequent-lines")
+    runs.close()
     drop = (
-        lines.join(runs.keys().hint("merge"), "k", "left_semi")
+        lines.join(frequent.hint("merge"), "k", "left_semi")
         .groupBy(F.coalesce("__id", F.lit(-(2**63))).alias("__key"), "__tag")
         .agg(F.collect_set("at").alias("__drop"))
     )
