@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("catalogops.llm.queries")
 import public_tokenizers  # noqa: E402
 
-from catalogops.llm import bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs  # noqa: E402
+from catalogops.llm import bpe, common, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, k string, n_lines string"
 
@@ -86,7 +86,11 @@ def test_line_dedup(spark, texts):
 
 @pytest.mark.parametrize("most", [1, span_dedup.MAX_CONTEXTS])
 def test_span_dedup(spark, texts, most):
-    got = by_id(span_dedup.dedup_spans(corpus(spark, texts), max_contexts=most), "kept", "n_removed")
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(span_dedup.PIECE + 3000))
+    edge = span_dedup.PIECE - 70
+    texts = [*texts, long, "own start " + long[edge : edge + 160] + " own end", "x" + long[-60:]]
+    got = by_id(span_dedup.dedup_spans(corpus(spark, texts), max_contexts=most), "kept", "n_removed", "spans")
     seen = set()
     for i, t in enumerate(texts):
         b = (t or "").encode()
@@ -97,6 +101,16 @@ def test_span_dedup(spark, texts, most):
                 hit[j : j + 50] = b"\1" * 50
         seen |= own
         assert (bytes(got[i][0]), got[i][1]) == (bytes(x for x, h in zip(b, hit) if not h), sum(hit))
+        assert [(x.start, x.end) for x in got[i][2]] == [m.span() for m in re.finditer(b"\1+", bytes(hit))]
+
+
+def test_span_dedup_of_repeated_ids(spark):
+    """Rows of one id do not count against each other, but against smaller ids."""
+    a, b = ("".join(random.Random(k).choice("abcdefghij") for _ in range(120)) for k in range(2))
+    rows = [(1, a), (1, a), (1, b), (2, a + b), (None, b), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed, len(r.spans)) for r in span_dedup.dedup_spans(docs).collect()))
+    assert got == [(0, 120, 120, 1), (1, 120, 0, 0), (1, 120, 0, 0), (1, 120, 0, 0), (2, 240, 240, 1), (3, 0, 0, 0)]
 
 
 def brute_components(texts):
@@ -200,6 +214,35 @@ def test_language_id_held_out(spark):
     assert all(r.lang_pred == (r.lang if r.doc_id < 1000 else "und") for r in out)
 
 
+def test_numerals_are_no_letters(spark):
+    rows = [(i, "the of and thing" if i % 2 else "der die und ung", "en" if i % 2 else "de") for i in range(40)]
+    rows += [(i, t, "en") for i, t in enumerate(("²", "½ Ⅷ ①", "12 3", "", None, "é", "語"), 100)]
+    docs = spark.createDataFrame([(*r, "clash", 7) for r in [*rows, (102, "12 3", "en")]], "doc_id long, text string, lang string, lang_pred string, score int")
+    net = language_id.train(docs)
+    got = [(r.doc_id, r.lang_pred) for r in language_id.identify(docs, net).where("doc_id >= 100").collect()]
+    assert {i for i, lang in got if lang == "und"} == {100, 101, 102, 103, 104} and len(got) == 8
+    left = language_id.accepted(docs, net, min_score=0.0).where("doc_id >= 100").collect()
+    assert {(r.doc_id, r.lang_pred, r.score) for r in left} == {(105, "clash", 7), (106, "clash", 7)}
+
+
+def test_samples_have_the_lowest_hashes(spark):
+    docs = spark.range(9000).withColumn("h", F.xxhash64("id"))
+    got = [r.h for r in common.lowest(docs, F.col("h"), 500).collect()]
+    assert got == sorted(r.h for r in docs.collect())[:500]
+    assert common.lowest(docs, F.col("h"), 20000).count() == 9000 and common.lowest(docs.where("false"), F.col("h"), 5).count() == 0
+
+
+def test_bpe_across_tries(spark, monkeypatch):
+    """Words seen before, forgotten words and words of both forms of the byte alphabet."""
+    encoder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["é語 été", "été Ã© x\x00y", "語 é", "<|endoftext|>ab", "Ã©té 語Ã©", "z" * 5000, ""]
+    monkeypatch.setattr(bpe, "MAX_WORDS", 4)
+    for _ in range(2):
+        for part in (texts[:3], texts[3:], texts):
+            want = [encoder.bpe.library.encode(t, add_special_tokens=False).ids for t in part]
+            assert [bpe.unpack(x) for x in encoder.batch(part)] == want
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [(float(i % 10 < 8), "big", "x") for i in range(400)] + [(float(i % 10 < 2), "bad", "x") for i in range(400)] + [(0.0, "tiny", "x"), (0.0, "tiny", "y")]
     got = {r.host: r for r in quality.site_scores(spark.createDataFrame(rows, "p double, host string, path string"), broadcast_paths=0).collect()}
