@@ -19,12 +19,16 @@ by whole window instead, combined before the shuffle, so that no task gets an un
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogops.llm.common import slices
+
 WINDOW = 50
 GRAM = 20
 LEFT = WINDOW - GRAM
@@ -36,7 +40,7 @@ MAX_CONTEXTS = 4000
 #: Rows that pass 2 sorts at a time.
 SORT_ROWS = 20_000
 #: Bytes of text for each bucket of pass 1.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 
 FULL, HEAD, HOT = 0, 1, 2
 _U = np.uint64
@@ -130,7 +134,7 @@ def _planes(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
 
 
-def _from_planes(blob: bytes, at: int, n: int, width: int, kind) -> np.ndarray:
+def _from_planes(blob: pa.Buffer, at: int, n: int, width: int, kind) -> np.ndarray:
     out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
     out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
     return out.reshape(-1).view(kind)
@@ -145,7 +149,7 @@ def _pack(columns: dict) -> bytes:
     return b"".join(_planes(columns[name].astype(kind), width) for name, width, kind in _FIELDS)
 
 
-def _unpack(blobs: list[bytes]) -> dict:
+def _unpack(blobs: list[pa.Buffer]) -> dict:
     got = {name: [] for name, _, _ in _FIELDS}
     for blob in blobs:
         n, at = len(blob) // _BYTES, 0
@@ -189,7 +193,7 @@ def _first_pass(buckets: int):
     """Anchors by bucket of their gram; contexts repeated within the piece are settled here."""
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             for held, texts in _piece_batches(batch):
                 row, pos, gram, data, where = held.anchors()
@@ -228,7 +232,7 @@ def _mark_rows(doc, tag, mark, buckets):
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "blob": pa.nulls(len(doc), pa.binary()), "doc": pa.array(doc), "tag": pa.array(tag), "mark": pa.array(mark)})
 
 
-def _settle_bucket(blobs: list[bytes], max_contexts: int) -> pa.RecordBatch:
+def _settle_bucket(blobs: list[pa.Buffer], max_contexts: int) -> pa.RecordBatch:
     """Marks (doc, tag, position * 4 + kind) of a bucket: settled contexts, and heads that go on."""
     got = _unpack(blobs)
     order = np.argsort(got["gram"])
@@ -252,20 +256,20 @@ def _settle_bucket(blobs: list[bytes], max_contexts: int) -> pa.RecordBatch:
 
 
 def _first_groups(max_contexts: int):
-    """Rows come sorted by bucket; a bucket is settled when all its blobs are there."""
+    """Rows come sorted by bucket; a bucket is settled when all its blobs are there, which are held as views of their batches."""
 
     def run(batches):
         held, current = [], None
         for batch in batches:
             done = batch.column("mark").is_valid()
             yield batch.select(["doc", "tag", "mark"]).filter(done)
-            rest = batch.filter(pa.compute.invert(done))
-            for bucket, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist()):
-                if bucket != current:
+            buckets, blobs = batch.column("bucket").to_numpy(), batch.column("blob")
+            for i in np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if buckets[i] != current:
                     if held:
                         yield _settle_bucket(held, max_contexts)
-                    held, current = [], bucket
-                held.append(blob)
+                    held, current = [], buckets[i]
+                held.append(blobs[i].as_buffer())
         if held:
             yield _settle_bucket(held, max_contexts)
 
@@ -444,7 +448,7 @@ def _second_groups(batches):
 
 def _cut(batches):
     """Spans to remove and what is left of each text, from the marks of both passes."""
-    for batch in batches:
+    for batch in chain.from_iterable(slices(b, "text") for b in batches):
         kept, sizes, gone, spans = [], [], [], []
         for text, settled, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks"), batch.column("found")):
             text = text or b""
