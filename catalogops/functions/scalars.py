@@ -214,10 +214,14 @@ def block_hash(bins: Column, bands: int = 4) -> Column:
 
     ``bins`` is an array of numbers, whose length ``bands`` divides into multiples of four.
     """
+    # The array and each step bind what the next one uses, so that nothing is worked out once a band or a bit.
+    return F.get(F.transform(F.array(bins), lambda whole: _block_digits(whole, bands)), 0)
+
+
+def _block_digits(bins: Column, bands: int) -> Column:
     width = (F.size(bins) / bands).cast("int")
-    # Each step binds what the next one uses, so that nothing is worked out once a bit.
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.slice(bins, b * width + 1, width))
-    sorted_ = F.transform(cut, lambda part: F.struct(part.alias("part"), F.array_sort(part).alias("order"), F.size(part).alias("n")))
+    sorted_ = F.transform(cut, lambda part: F.struct(part.alias("part"), F.sort_array(part).alias("order"), F.size(part).alias("n")))
 
     def middle(s: Column) -> Column:
         high, low = F.element_at(s.order, F.floor(s.n / 2).cast("int") + 1), F.element_at(s.order, F.ceil(s.n / 2).cast("int"))

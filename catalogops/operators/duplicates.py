@@ -38,7 +38,8 @@ def hash_pairs(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame
     digits two near hashes share one, so bands meet by an equi-join and the
     distance decides.  Raises where hashes differ in length.
     """
-    rows = written(hashes.where(F.col("hash").isNotNull() & F.col("path").isNotNull()), "hashes")
+    # Written before it is filtered, so that a filter does not work the hashes out a second time.
+    rows = written(hashes.select("path", "hash"), "hashes").dropna()
     wrong = rows.where(F.length("hash") != digits).limit(1).collect()
     if wrong:
         raise ValueError(f"hashes must have {digits} digits")

@@ -81,8 +81,11 @@ def _histogram_hashes(spark, sf_dir) -> DataFrame:
     d = _read(spark, sf_dir, "documents")
     words = d.select("doc_id", F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("w"))
     bins = words.groupBy("doc_id", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int").alias("bin")).count()
-    counts = bins.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
-    raster = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double"))
+    # Counts come in order of their bins, each after zeros for the bins that the text lacks.
+    counts = bins.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bin", F.col("count").cast("double").alias("n")))).alias("s"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    gap = lambda x, i: x.bin - F.when(i == 0, -1).otherwise(F.get("s", i - 1).bin) - 1
+    raster = F.concat(F.flatten(F.transform("s", lambda x, i: F.concat(zeros(gap(x, i)), F.array(x.n)))), zeros(255 - F.element_at("s", -1).bin))
     return counts.select(F.col("doc_id").alias("path"), S.block_hash(raster).alias("hash"))
 
 
