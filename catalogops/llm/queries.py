@@ -46,7 +46,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s.kind)
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{rule[0]}") for i, rule in enumerate(secrets.BASE)]
-    return out.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), F.col("n_live").cast("long").alias("n_live"), F.col("n_copied").cast("long").alias("n_copied"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +105,21 @@ long AS (
   WHERE regexp_matches(substr(text, start::bigint + 1, (stop - start)::bigint), '[0-9]') AND regexp_matches(substr(text, start::bigint + 1, (stop - start)::bigint), '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start < o.stop AND o.start < b.stop)
 ), valued AS (
-  SELECT b.doc_id, sha256(CASE kind WHEN 'assign' THEN regexp_extract(substr(text, start::bigint + 1, (stop - start)::bigint), '{secrets.BASE[0][1].replace("'", "''")}', 2)
+  SELECT b.doc_id, kind, sha256(CASE kind WHEN 'assign' THEN regexp_extract(substr(text, start::bigint + 1, (stop - start)::bigint), '{secrets.BASE[0][1].replace("'", "''")}', 2)
     ELSE substr(text, start::bigint + 1, (stop - start)::bigint) END) AS h, source, lang FROM base b JOIN t USING (doc_id)
-  UNION ALL SELECT doc_id, h, source, lang FROM long
+  UNION ALL SELECT doc_id, kind, h, source, lang FROM long
 ), live AS (
   SELECT h FROM (SELECT DISTINCT h, source, lang FROM valued) GROUP BY h
   HAVING count(DISTINCT coalesce(source, chr(0))) <= {secrets.MAX_OWNERS} AND count(*) <= {secrets.MAX_REPOS}
 ), every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, kind, start, stop FROM long WHERE h IN (SELECT h FROM live)),
-named AS (SELECT *, kind || ':' || start::bigint || ':' || stop::bigint AS s, list_position({secrets.KINDS}, kind) AS o FROM every)
+named AS (SELECT *, kind || ':' || start::bigint || ':' || stop::bigint AS s, list_position({secrets.KINDS}, kind) AS o FROM every),
+judged AS (
+  SELECT doc_id, count(*) FILTER (h IN (SELECT h FROM live)) AS n_live, count(*) FILTER (kind <> 'owned' AND h NOT IN (SELECT h FROM live)) AS n_copied FROM valued GROUP BY doc_id
+)
 SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(s, ',' ORDER BY start, o) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, o), '') AS spans
-FROM t LEFT JOIN named USING (doc_id) GROUP BY t.doc_id
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, o) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, o), '') AS spans,
+  coalesce(any_value(n_live), 0) AS n_live, coalesce(any_value(n_copied), 0) AS n_copied
+FROM t LEFT JOIN named USING (doc_id) LEFT JOIN judged USING (doc_id) GROUP BY t.doc_id
 """,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_exact_dedup": f"""

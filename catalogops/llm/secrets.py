@@ -7,6 +7,8 @@ a copied example, one that stays with few is likely to be a live credential.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,37 +26,42 @@ KINDS = [k[0] for k in (*BASE, OWNED)]
 #: Most distinct owners and repositories of a value that still looks live.
 MAX_OWNERS = 1
 MAX_REPOS = 2
+#: Matches of a text whose lengths are summed in one piece.
+PIECE = 64
+#: A value with more than one in this many of all spans is hot; so there are fewer hot values than this.
+HOT_SHARE = 1000
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array: within pieces, then over the pieces, so that the work grows with the length and not its square."""
+    grow = lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + x)
+    none = F.array().cast("array<int>")
+    pieces = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / PIECE).cast("int")), lambda i: F.aggregate(F.slice(n, i * PIECE + 1, PIECE), none, grow))
+    before = lambda sums: F.aggregate(F.transform(sums, lambda s: F.element_at(s, -1)), F.array(F.lit(0)), grow)
+    shifted = lambda sums: _bound(before(sums), lambda b: F.flatten(F.transform(sums, lambda s, i: F.transform(s, lambda x: x + F.get(b, i)))))
+    return _bound(_bound(lengths, pieces), shifted)
 
 
 def find(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of (kind, start, end, value) of the pattern's matches, leftmost and non-overlapping, in code points.
 
-    The texts between matches and the matches themselves give the offsets.
+    The lengths of the texts between matches and of the matches themselves add up to the offsets.
     """
     lit = F.lit(pattern)
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, lit, F.lit(0))
     values = F.regexp_extract_all(text, lit, F.lit(group)) if group else found
-    spans = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a.at + F.length(x.gap) + F.coalesce(F.length(x.hit), F.lit(0))).alias("at"),
-            F.when(x.hit.isNull() | (F.length(x.value) < least), a.out)
-            .otherwise(
-                F.array_append(
-                    a.out,
-                    F.struct(
-                        F.lit(KINDS.index(kind)).alias("kind"),
-                        (a.at + F.length(x.gap)).alias("start"),
-                        (a.at + F.length(x.gap) + F.length(x.hit)).alias("end"),
-                        x.value.alias("value"),
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda a: a.out,
+    span = lambda x, end: F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(x.hit)).alias("start"), end.alias("end"), x.value.alias("value")
     )
+    ends = lambda z: _running(F.transform(z, lambda x: F.length(x.gap) + F.coalesce(F.length(x.hit), F.lit(0))))
+    every = _bound(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")), lambda z: F.zip_with(z, ends(z), span))
+    # What follows the last match has no match of its own.
+    spans = F.filter(every, lambda s: F.length(s.value) >= least)
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
@@ -90,13 +97,26 @@ def _order(a: Column, b: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """``(value, n_owners, n_repos)`` from rows ``(value, owner, repo)``; repositories are an owner's own.
+    """``(value, n_owners, n_repos, n_spans)`` from rows ``(value, owner, repo)``; repositories are an owner's own.
 
     Three grouped counts, each combined map-side, so a value that a third of all documents hold meets in no one task.
     """
-    repos = spans.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    owners = repos.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    repos = spans.groupBy("value", "owner", "repo").agg(F.count("*").alias("m"))
+    owners = repos.groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    return owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.sum("m").alias("n_spans"))
+
+
+def _judged(spans: DataFrame, live: DataFrame) -> DataFrame:
+    """``spans`` with ``live`` of their value, from rows ``(value, live, n_spans)``.
+
+    Spans of hot values are judged where they are: fewer than ``HOT_SHARE`` values are broadcast. The others meet by a shuffle.
+    """
+    total = live.agg(F.sum("n_spans")).first()[0] or 0
+    is_hot = F.col("n_spans") * HOT_SHARE > total
+    hot = live.where(is_hot).select("value", F.col("live").alias("hot_live"))
+    marked = spans.join(F.broadcast(hot), "value", "left")
+    rest = marked.where("hot_live is null").drop("hot_live").join(live.where(~is_hot).select("value", "live").hint("merge"), "value")
+    return marked.where("hot_live is not null").withColumnRenamed("hot_live", "live").unionByName(rest)
 
 
 def scan(
@@ -115,7 +135,7 @@ def scan(
     some = rows.where((F.size("base") > 0) | (F.size("owned") > 0)).select("rid", "owner", "repo", F.explode(F.concat("base", "owned")).alias("s"))
     counts = ownership(some.select("s.value", "owner", "repo"))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    judged = some.select("rid", "s", F.col("s.value").alias("value")).join(counts.select("value", live.alias("live")).hint("merge"), "value")
+    judged = _judged(some.select("rid", "s", F.col("s.value").alias("value")), written(counts.select("value", live.alias("live"), "n_spans"), "secret-values"))
     by_row = judged.groupBy("rid").agg(F.collect_list(F.struct("s.kind", "s.start", "s.end", "s.value", "live")).alias("all"))
     out = rows.select("id", "rid").join(by_row.hint("shuffle_hash"), "rid", "left")
     every = F.array_sort(F.coalesce("all", F.array().cast(by_row.schema["all"].dataType)), lambda a, b: _order(a, b))

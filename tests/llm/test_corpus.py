@@ -185,6 +185,56 @@ def test_secrets(spark):
     assert got[2].b == "" and got[2].s == "owned:6:38"
 
 
+def test_secrets_match_brute_force(spark, texts):
+    """Every span of long texts, at offsets in code points, and every value judged by its owners, hot ones too."""
+    rng = random.Random(5)
+    pick = lambda: rng.choice(["token=hot12345", "passwd: short", "Secret='é'", f"api_key={rng.random()}", f"q{rng.randrange(10**30)}z{10**12}", f"AKIA{'Q7' * rng.randint(7, 9)}", "ab12" * rng.randint(5, 8), "é語", "x" * 9])
+    texts = [" ".join(pick() for _ in range(n)) for n in (1, 64, 65, 700, 3000, *range(2, 40))] + [None, "", *texts[:5]]
+    got = {r.doc_id: r for r in secrets.scan(corpus(spark, texts).withColumn("spans", F.lit(1))).collect()}
+    assert len(got) == len(texts)
+    found = {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = [(m.start(), k, m.end(), m.group(g)) for k, (_, p, g, least) in enumerate(secrets.BASE) for m in re.finditer(p, t) if len(m.group(g)) >= least]
+        long = [(m.start(), 3, m.end(), m.group()) for m in re.finditer(secrets.OWNED[1], t) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+        found[i] = sorted(base), [x for x in long if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+    holders = {}
+    for i, (base, long) in found.items():
+        for x in base + long:
+            holders.setdefault(x[3], set()).add(f"s{i % 2}")
+    assert {len(h) for h in holders.values()} == {1, 2}
+    for i, (base, long) in found.items():
+        live = lambda x: len(holders[x[3]]) == 1
+        assert [(x.start, x.kind, x.end) for x in got[i].base] == [x[:3] for x in base]
+        assert [(x.start, x.kind, x.end, x.live) for x in got[i].spans] == [(*x[:3], live(x)) for x in sorted(base + [x for x in long if live(x)])]
+        assert (got[i].n_live, got[i].n_copied) == (sum(map(live, base + long)), sum(not live(x) for x in base))
+
+
+def _chains_of(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.SPOTS]
+    chains = set()
+    for i, w in enumerate(words):
+        after = [c for j, c in content if j > i][: spotsigs.CHAIN]
+        if w in spotsigs.SPOTS and len(after) == spotsigs.CHAIN:
+            chains.add((w, *after))
+    return chains or set(zip(words, words[1:], words[2:])) or {text}
+
+
+def test_fingerprints_match_brute_force(spark, texts):
+    texts = [t if t is None or len(t) < 2000 else t[:2000] for t in texts] + ["the", "of the", "the cat of a dog sat"]
+    got = {r.doc_id: r for r in spotsigs.neighbour_fingerprints(corpus(spark, texts).withColumn("fingerprint", F.lit(1))).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    prints = {}
+    for i in range(len(texts)):
+        t, n = texts[i] or "", texts[i - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        own, changed, after = _chains_of(t), _chains_of(edited), _chains_of(n)
+        assert got[i].n_chars == len(t) and len(got[i].fingerprint) == 8 * len(own) and len(got[i].edited_fingerprint) == 8 * len(changed)
+        assert abs(got[i].near_edited - like(own, changed)) < 1e-12 and abs(got[i].near_next - like(own, after)) < 1e-12
+        assert prints.setdefault(got[i].fingerprint, own) == own and prints.setdefault(got[i].edited_fingerprint, changed) == changed
+
+
 def test_fingerprints(spark, texts):
     got = {r.doc_id: r for r in spotsigs.neighbour_fingerprints(corpus(spark, texts)).collect()}
     ids = sorted(got, reverse=True)
@@ -243,10 +293,50 @@ def test_bpe_across_tries(spark, monkeypatch):
             assert [bpe.unpack(x) for x in encoder.batch(part)] == want
 
 
-def test_quality_shrinks_sparse_sites(spark):
-    rows = [(float(i % 10 < 8), "big", "x") for i in range(400)] + [(float(i % 10 < 2), "bad", "x") for i in range(400)] + [(0.0, "tiny", "x"), (0.0, "tiny", "y")]
-    got = {r.host: r for r in quality.site_scores(spark.createDataFrame(rows, "p double, host string, path string"), broadcast_paths=0).collect()}
-    assert got["tiny"].path_posterior > got["bad"].path_posterior or abs(got["tiny"].path_posterior - 0.5) < 0.3
+@pytest.mark.parametrize("paths", [0, 1000])
+def test_site_scores_match_brute_force(spark, paths):
+    """Posteriors of hosts and paths and the joint score, with the priors' strengths from the rows themselves."""
+    rng = random.Random(2)
+    rows = [(rng.betavariate(2 + h % 3, 2), f"h{h}", f"p{rng.randrange(3)}") for h in range(6) for _ in range(1 + 40 * h)] + [(0.0, "tiny", "x"), (1.0, "tiny", "y")]
+
+    def strength(groups):
+        every = [x for g in groups for x in g]
+        mean = sum(every) / len(every)
+        within = sum((x - sum(g) / len(g)) ** 2 for g in groups for x in g) / (len(every) - len(groups))
+        spread = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups)
+        between = (spread - (len(groups) - 1) * within) / (len(every) - sum(len(g) ** 2 for g in groups) / len(every))
+        return min(max(within / between if between > 0 else 1e4, 0.1), 1e4)
+
+    by = lambda *cols: {k: [r[0] for r in rows if tuple(r[c] for c in cols) == k] for k in {tuple(r[c] for c in cols) for r in rows}}
+    hosts, sites = by(1), by(1, 2)
+    host_k, path_k, mu = strength(list(hosts.values())), strength(list(sites.values())), sum(r[0] for r in rows) / len(rows)
+    odds = lambda p: min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))
+    want = []
+    for p, host, path in rows:
+        h = (sum(hosts[host,]) - p + host_k * mu) / (len(hosts[host,]) - 1 + host_k)
+        q = (sum(sites[host, path]) - p + path_k * h) / (len(sites[host, path]) - 1 + path_k)
+        joint = odds(p) * odds(q) / odds(mu)
+        want.append((host, path, p, h, q, joint / (1 + joint)))
+    got = quality.site_scores(spark.createDataFrame(rows, "p double, host string, path string"), broadcast_paths=paths)
+    got = sorted(tuple(r) for r in got.select("host", "path", "p", "host_posterior", "path_posterior", "score").collect())
+    assert len(got) == len(want) and all(g[:2] == w[:2] and max(abs(x - y) for x, y in zip(g[2:], w[2:])) < 1e-6 for g, w in zip(got, sorted(want)))
+
+
+def test_quality_of_held_out_documents(spark):
+    """Classifier and sites together: held-out documents of good and bad words are told apart, and a site's others move a document without evidence."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(600):
+        good = i % 2 == 0
+        docs.append((i, " ".join(rng.choice(["the", "house", "stood", "near", "water"] if good else ["$$$", "CLICK", "win99", "|#|", "buy!"]) for _ in range(30)), "en", "good" if good else "bad", 0, "", ""))
+        labels.append((i, good))
+    docs += [(1000, None, "en", "good", 0, "", ""), (1001, None, "en", "bad", 0, "", ""), (1001, None, "en", "bad", 0, "", ""), (None, "", None, None, 0, "", "")]
+    df = spark.createDataFrame(docs, DDL).withColumn("p", F.lit("clash")).withColumn("score", F.lit(1))
+    truth = spark.createDataFrame([(i, int(g)) for i, g in labels if i % 3], "doc_id long, quality int")
+    got = quality.classify(df, quality.train(df, truth)).collect()
+    score = {r.doc_id: r.score for r in got}
+    assert len(got) == len(docs) and all((score[i] > 0.5) == g for i, g in labels if i % 3 == 0)
+    assert score[1000] > score[1001]
 
 
 def test_quality_sees_the_whole_of_a_long_word():
