@@ -74,6 +74,11 @@ def effective_date(original: Column, created: Column, mtime_ms: Column, is_image
     return F.coalesce(F.when(is_image, found), mtime_ms, F.lit(0).cast("long"))
 
 
+def described_tags(tags: Column) -> Column:
+    """Map of strings from a map of (description, values): the description, or where it is empty the values joined by a space."""
+    return F.transform_values(tags, lambda _, t: F.coalesce(F.nullif(t["description"], F.lit("")), F.array_join(t["values"], " "), F.lit("")))
+
+
 def camera_record(tags: Column) -> Column:
     """Struct of eight camera attributes from a map of raw tags, each the first non-empty of its alternatives; null if all are empty."""
     first = lambda *names: F.coalesce(*[F.nullif(F.try_element_at(tags, F.lit(n)), F.lit("")) for n in names])

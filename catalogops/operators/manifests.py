@@ -70,19 +70,29 @@ def free_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def retention(files: DataFrame, budget: int) -> DataFrame:
-    """Oldest files to drop so that at most ``budget`` bytes stay: rows ``(key, mtime, size)``.
+    """Oldest files to drop so that at most ``budget`` bytes stay: rows ``(key, mtime, size)``; sizes are not negative.
 
-    Sizes are summed by day first and the running sum runs over days, then
-    within the day that is cut, so the global order is never in one task.
+    Sizes are summed by day first, which tells the days that go and the one day
+    that is cut.  That day is sorted in ranges, and its running sum runs over the ranges, then within
+    each, so no task holds a whole day.  Files without a time or size stay and take no room.
     """
-    day = F.col("mtime").cast("date")
-    by_day = files.groupBy(day.alias("day")).agg(F.sum("size").alias("bytes"))
-    total = F.sum("bytes").over(Window.partitionBy())
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = by_day.select("day", before.alias("day_before"), total.alias("total"))
-    within = Window.partitionBy("day").orderBy("mtime", "key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.withColumn("day", day).withColumn("in_day", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(days, "day").where(F.col("total") - F.col("day_before") - F.col("in_day") > budget).select("key", "mtime", "size")
+    rows = files.select("key", "mtime", "size", F.col("mtime").cast("date").alias("day")).where("day is not null and size is not null")
+    by_day = written(rows.groupBy("day").agg(F.sum("size").alias("bytes")), "days")
+    # One row a day: summed in one task, and small enough to broadcast.
+    after = F.coalesce(F.sum("bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = by_day.select("day", "bytes", after.alias("after"))
+    gone = days.where(F.col("after") > budget)
+    # More than the budget stays with this day's bytes, but not without them: the only such day.
+    cut = days.where((F.col("after") <= budget) & (F.col("after") + F.col("bytes") > budget))
+    whole = rows.join(F.broadcast(gone.select("day")), "day", "left_semi").select("key", "mtime", "size")
+    part = rows.join(F.broadcast(cut.select("day", "after")), "day").orderBy(F.desc("mtime"), F.desc("key")).withColumn("range", F.spark_partition_id())
+    part = written(part, "cut-day")
+    sums = part.groupBy("range").agg(F.sum("size").alias("bytes"))
+    newer = sums.select("range", F.coalesce(F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("newer"))
+    within = F.sum("size").over(Window.partitionBy("range").orderBy(F.desc("mtime"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    # One row a range: the broadcast is bounded by the number of tasks.
+    some = part.withColumn("within", within).join(F.broadcast(newer), "range").where(F.col("after") + F.col("newer") + F.col("within") > budget)
+    return whole.unionByName(some.select("key", "mtime", "size"))
 
 
 def latest(rows: DataFrame, key: str = "key", value: str = "value", ts: str = "ts") -> DataFrame:

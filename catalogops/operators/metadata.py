@@ -99,6 +99,12 @@ def batch_tag(tags: DataFrame, paths: DataFrame, tag: str) -> DataFrame:
     return rows.select("path", F.when(F.col("hit").isNull() | F.array_contains(now, tag), now).otherwise(F.array_append(now, F.lit(tag))).alias("tags"))
 
 
+def extended_vocabulary(words: DataFrame, tag: str) -> DataFrame:
+    """The vocabulary ``(tag)`` after a batch was given a tag; a blank tag changes nothing."""
+    tag = tag.strip()
+    return words.select("tag").union(words.sparkSession.createDataFrame([(tag,)] if tag else [], "tag string")).distinct()
+
+
 def set_membership(base: DataFrame, paths: DataFrame, on: bool) -> DataFrame:
     return base.select("path").union(paths.select("path")).distinct() if on else base.select("path").distinct().join(paths.select("path"), "path", "left_anti")
 

@@ -14,6 +14,7 @@ from catalogops.operators import catalog as C
 from catalogops.operators import duplicates as D
 from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
+from catalogops.sources import decoders
 from catalogops.streaming import streams as T
 
 QUERIES: dict = {}
@@ -265,6 +266,32 @@ def vector_hashes(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select("vec_id", S.block_hash(F.transform("embedding", lambda x: x.cast("double"))).alias("hash"))
 
 
+def _letters(content: bytes) -> list[float]:
+    """A stand-in for an image decoder: how often each letter from a to p occurs."""
+    return [float(content.count(bytes([97 + i]))) for i in range(16)]
+
+
+@_query("""WITH v AS (SELECT doc_id, i AS bin, length(text) - length(replace(text, chr(97 + i::int), '')) AS n FROM documents, range(16) r(i) WHERE text IS NOT NULL),
+bits AS (SELECT doc_id, bin, n > median(n) OVER (PARTITION BY doc_id, bin // 4) AS bit FROM v),
+digits AS (SELECT doc_id, bin // 4 AS d, sum(CASE WHEN bit THEN 8 >> (bin % 4)::int ELSE 0 END)::int AS x FROM bits GROUP BY ALL)
+SELECT doc_id, string_agg(substr('0123456789abcdef', x + 1, 1), '' ORDER BY d) AS hash FROM digits GROUP BY doc_id""")
+def decoded_rasters(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return decoders.rasters(d, _letters).where("raster is not null").select("doc_id", S.block_hash(F.col("raster")).alias("hash"))
+
+
+def _makers(content: bytes) -> dict[str, str]:
+    """A stand-in for a reader of camera tags."""
+    return {"Make": str(len(content)), "Model": "", "Lens": str(content.count(b"\n"))}
+
+
+@_query("SELECT doc_id, octet_length(encode(text))::varchar AS make, NULL::varchar AS model, (length(text) - length(replace(text, chr(10), '')))::varchar AS lens FROM documents WHERE text IS NOT NULL")
+def decoded_tags(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    records = decoders.raw_tags(d, _makers).where("raw_tags is not null").select("doc_id", S.camera_record(F.col("raw_tags")).alias("c"))
+    return records.select("doc_id", "c.make", "c.model", "c.lens")
+
+
 def _similar(threshold: int):
     def run(spark, sf_dir):
         return D.similar_groups(_histogram_hashes(spark, sf_dir), threshold)

@@ -6,6 +6,7 @@ skips only dot names (unless asked), keeps empty files, does not follow links an
 
 from __future__ import annotations
 
+import errno
 import os
 import uuid
 
@@ -40,7 +41,7 @@ class _Reader(DataSourceReader):
             try:
                 entries = sorted(os.scandir(here), key=lambda e: e.name)
             except OSError as e:
-                yield (here, os.path.basename(here), None, None, "error", type(e).__name__)
+                yield (here, os.path.basename(here), None, None, "error", errno.errorcode.get(e.errno, type(e).__name__))
                 continue
             for e in entries:
                 if e.name.startswith(".") and not self.dots:

@@ -1,4 +1,8 @@
+import datetime
+import random
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalogops.functions import scalars as S
@@ -8,7 +12,7 @@ from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
 from catalogops.operators.components import connected_components
 from catalogops.plans import queries as Q
-from catalogops.sources import media
+from catalogops.sources import decoders, media
 from catalogops.streaming import streams as T
 
 
@@ -30,7 +34,43 @@ def test_scan(spark, tmp_path):
 
 def test_missing_root_is_an_error_row(spark, tmp_path):
     _, errors = media.catalog(spark, str(tmp_path / "none"))
-    assert errors.count() == 1
+    assert column(errors, "code") == ["ENOENT"]
+
+
+def test_decoders(spark):
+    rows = [(1, b"ab", "clash"), (2, None, "clash"), (3, b"", "clash"), (1, b"ab", "clash")]
+    files = spark.createDataFrame(rows, "path long, content binary, raster string")
+    got = decoders.rasters(files, lambda c: [float(x) for x in c] if c else 1 / 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(path=p, raster=[97.0, 98.0] if p == 1 else None) for p, _, _ in rows]))
+    tags = decoders.raw_tags(files, lambda c: {"Make": c.decode(), "Model": ""}).select("path", "raster", S.camera_record(F.col("raw_tags")).alias("c"))
+    assert sorted((r.path, r.raster, r.c and r.c.make) for r in tags.collect()) == [(1, "clash", "ab"), (1, "clash", "ab"), (2, "clash", None), (3, "clash", None)]
+    assert decoders.rasters(files.where("false"), list).count() == 0
+
+
+def test_described_tags(spark):
+    ddl = "tags map<string, struct<description: string, values: array<string>>>"
+    rows = spark.createDataFrame([({"Make": ("M", ["x"]), "Lens": ("", ["24", "70"]), "ISO": (None, None)},), (None,)], ddl)
+    got = [r.c for r in rows.select(S.camera_record(S.described_tags(F.col("tags"))).alias("c")).collect()]
+    assert (got[0].make, got[0].lens, got[0].iso) == ("M", "24 70", None) and got[1] is None
+
+
+def test_vocabulary_grows(spark):
+    words = spark.createDataFrame([("a",), ("b",)], "tag string")
+    assert [column(X.extended_vocabulary(words, t), "tag") for t in (" c ", "a", " ")] == [["a", "b", "c"], ["a", "b"], ["a", "b"]]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 50, 137, 400, 10**6])
+def test_retention(spark, budget):
+    rng = random.Random(budget)
+    files = [(f"k{i:03}", datetime.datetime(2024, 1, rng.choice([1, 2, 2, 2, 3]), rng.randrange(3)), rng.randrange(6)) for i in range(150)]
+    stay, drop = 0, []
+    for f in sorted(files, key=lambda f: f[1::-1], reverse=True):
+        stay += f[2]
+        if stay > budget:
+            drop.append(f)
+    rows = spark.createDataFrame([*files, ("x", None, 5), ("y", files[0][1], None)], "key string, mtime timestamp, size long")
+    assert sorted(map(tuple, M.retention(rows, budget).collect())) == sorted(drop)
+    assert M.retention(rows.where("false"), budget).count() == 0
 
 
 def test_exact_duplicates(spark):
