@@ -79,3 +79,8 @@ def with_arrow(df: DataFrame, added: str, text: str, work: Callable[[], Callable
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + got, names + new.names)
 
     return df.mapInArrow(run, schema)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, not once for every element of a lambda inside ``use``."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs
+from catalogops.llm import bpe, chat, exact_dedup, filter_audit, gnat, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs
 from catalogops.llm.common import table
 
 
@@ -64,7 +64,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_mixing, op4_fingerprints, op5_span_dedup, op6_line_dedup, op7_secrets, op8_language_id, op9_jaccard_join, op10_exact_dedup)}
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(planted, turns.schema))
+    return chat.digest_columns(chat.format_conversations(turns))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_mixing, op4_fingerprints, op5_span_dedup, op6_line_dedup, op7_secrets, op8_language_id, op9_jaccard_join, op10_exact_dedup, op11_chat_formatting, op12_filter_audit, op13_hard_negatives)}
 
 
 def _found(kind: str, pattern: str, group: int, least: int) -> str:
@@ -82,6 +97,9 @@ SELECT doc_id, '{kind}' AS kind, start, stop FROM (
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op11_chat_formatting": chat.ORACLE_SQL,
+    "op13_hard_negatives": gnat.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op6_line_dedup": f"""
 WITH lines AS (
