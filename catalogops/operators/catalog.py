@@ -136,7 +136,7 @@ def position_of(playlist_: DataFrame, path: str) -> DataFrame:
 def upload_status(events: DataFrame, allowed: tuple[str, ...] = S.UPLOADS, limit: int = MAX_UPLOAD, root_allowed: Column | None = None) -> DataFrame:
     """Uploads with ``reject_reason``, null where accepted; without an allowed root nothing is."""
     reason = F.when(~F.coalesce(root_allowed, F.lit(False)), "root") if root_allowed is not None else F
-    reason = reason.when(~S.extension(F.col("name")).isin(*allowed), "type").when(F.coalesce("size", F.lit(0)) <= 0, "empty").when(F.col("size") > limit, "too large")
+    reason = reason.when(~F.coalesce(S.extension(F.col("name")).isin(*allowed), F.lit(False)), "type").when(F.coalesce("size", F.lit(0)) <= 0, "empty").when(F.col("size") > limit, "too large")
     return events.withColumn("reject_reason", reason)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from catalogops.functions import scalars as S
 from catalogops.operators import catalog as C
 from catalogops.operators import duplicates as D
+from catalogops.operators import edits as E
 from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
 from catalogops.sources import decoders
@@ -423,9 +424,49 @@ def apply_edits(spark, sf_dir):
     return X.apply_edits(log.where("cast(path as int) % 2 = 0").select("path", "item").distinct(), log)
 
 
+_EDIT_OPS = ("tag", "toggle_tag", "toggle_favorite", "toggle_tag", "untag", "favorite", "toggle_tag", "unfavorite", "tag")
+
+
+@_query(f"""WITH e AS (SELECT event_id AS seq, '/u/' || user_id AS path, event_type AS tag, {list(_EDIT_OPS)}[event_id % 9 + 1] AS op, event_id % 2 = 0 AS ensure FROM events),
+paths AS (SELECT DISTINCT path, ltrim(path, '/u')::int AS u FROM e),
+base AS (SELECT path, x AS item, i AS place FROM paths, (VALUES ('view', 0), ('base', 1), ('click', 2)) b(x, i) WHERE u % 2 = 0 UNION ALL SELECT path, '*', 0 FROM paths WHERE u % 3 = 0),
+change AS (SELECT seq, path, CASE WHEN contains(op, 'favorite') THEN '*' ELSE tag END AS item, CASE WHEN contains(op, 'toggle') THEN 0 WHEN op IN ('tag', 'favorite') THEN 1 ELSE 2 END AS op FROM e),
+folded AS (
+  SELECT path, item, list_reduce([coalesce(place, -1)] || coalesce(ops, []), lambda a, x: CASE x % 3 WHEN 0 THEN CASE WHEN a >= 0 THEN -1 ELSE 10 + x // 3 END WHEN 1 THEN CASE WHEN a >= 0 THEN a ELSE 10 + x // 3 END ELSE -1 END) AS place
+  FROM (SELECT path, item, list(seq * 3 + op ORDER BY seq) AS ops FROM change GROUP BY ALL) FULL JOIN base USING (path, item)
+)
+SELECT 'tags' AS kind, path AS name, string_agg(item, ',' ORDER BY place) AS value FROM folded WHERE item <> '*' AND place >= 0 GROUP BY path
+UNION ALL SELECT 'favorite', path, '' FROM folded WHERE item = '*' AND place >= 0
+UNION ALL SELECT 'word', tag, '' FROM (SELECT 'base' AS tag UNION SELECT tag FROM e WHERE op = 'tag' OR (op = 'toggle_tag' AND ensure))""")
+def edited_metadata(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    op = F.element_at(F.array(*map(F.lit, _EDIT_OPS)), (F.col("event_id") % 9 + 1).cast("int"))
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), op.alias("op"), F.concat(F.lit(" "), "event_type").alias("tag"), (F.col("event_id") % 2 == 0).alias("ensure"))
+    users = e.select("user_id", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path")).distinct()
+    tags = users.where("user_id % 2 = 0").select("path", F.array(*map(F.lit, ("view", "base", "click"))).alias("tags"))
+    favorites, lists, words = E.fold_edits(users.where("user_id % 3 = 0").select("path"), tags, users.select(F.lit("base").alias("tag")).distinct(), log)
+    rows = lists.select(F.lit("tags").alias("kind"), F.col("path").alias("name"), F.array_join("tags", ",").alias("value"))
+    rows = rows.unionByName(favorites.select(F.lit("favorite").alias("kind"), F.col("path").alias("name"), F.lit("").alias("value")))
+    return rows.unionByName(words.select(F.lit("word").alias("kind"), F.col("tag").alias("name"), F.lit("").alias("value")))
+
+
 # -- manifests
 
 
+@_query("""WITH up AS (SELECT event_id AS ord, event_type || '.JPG' AS name, event_type AS stem, '/r' || user_id % 7 || '/guests' AS dir FROM events),
+taken AS (SELECT DISTINCT dir, stem, n FROM up, (VALUES (0), (3), (4), (8)) t(n) WHERE n > 0 OR dir = '/r0/guests'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY ord) - CASE WHEN dir = '/r0/guests' THEN 0 ELSE 1 END AS i FROM up),
+free AS (SELECT dir, stem, n, row_number() OVER (PARTITION BY dir, stem ORDER BY n) AS i FROM (SELECT DISTINCT dir, stem FROM up), range(1, (SELECT count(*) + 9 FROM events)) r(n) WHERE n NOT IN (3, 4, 8))
+SELECT ord, name, CASE WHEN i = 0 THEN name ELSE stem || '-' || n || '.jpg' END AS stored, dir FROM ranked LEFT JOIN free USING (dir, stem, i)""")
+def upload_names(spark, sf_dir):
+    where = F.concat(F.lit("/r"), (F.col("user_id") % 7).cast("string"), F.lit("/guests"))
+    up = _read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat("event_type", F.lit(".JPG")).alias("name"), where.alias("dir"), "event_type")
+    places = up.select("dir", "event_type").distinct()
+    numbered = places.select("dir", "event_type", F.explode(F.array(*map(F.lit, (3, 4, 8)))).alias("n")).select("dir", F.concat("event_type", F.lit("-"), F.col("n").cast("string"), F.lit(".jpg")).alias("name"))
+    taken = numbered.union(places.where("dir = '/r0/guests'").select("dir", F.concat("event_type", F.lit(".JPG"))))
+    return M.free_names(up, taken)
+
+
 @_query("SELECT o_orderkey AS path FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderstatus = 'F')")
 def delete_batch(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogops.functions import scalars as S
 from catalogops.operators import catalog as C
 from catalogops.operators import duplicates as D
+from catalogops.operators import edits as E
 from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
 from catalogops.operators.components import connected_components
@@ -59,6 +60,37 @@ def test_vocabulary_grows(spark):
     assert [column(X.extended_vocabulary(words, t), "tag") for t in (" c ", "a", " ")] == [["a", "b", "c"], ["a", "b"], ["a", "b"]]
 
 
+def test_edits_are_folded_in_order(spark):
+    rng = random.Random(8)
+    paths, words = ["/a", "/b", "/c"], ["x", " y", "z ", "", " "]
+    base = {"/a": ["y", "q", "x"], "/b": ["x"], "/d": ["x", "x"]}
+    log = [(i, rng.choice(paths) if rng.random() < 0.3 else "/a", rng.choice([*E.OPS, "none"]), rng.choice([*words, None]), rng.choice([True, False, None])) for i in range(400)]
+    log += [(None, "/a", "tag", "n", True), (5000, None, "tag", "n", True), (5001, "/e", "toggle_tag", "w", False)]
+    fav, tags, vocabulary = {"/b", "/d"}, {p: list(dict.fromkeys(t)) for p, t in base.items()}, {"q"}
+    for seq, p, op, t, ensure in log:
+        if seq is None or p is None or op == "none":
+            continue
+        kind, change = E.OPS[op]
+        if kind == "favorite":
+            fav = fav ^ {p} if change == "toggle" else fav | {p} if change == "add" else fav - {p}
+        elif t is not None and t.strip():
+            t, now = t.strip(), tags.setdefault(p, [])
+            there = t in now
+            if there and change in ("remove", "toggle"):
+                now.remove(t)
+            elif not there and change in ("add", "toggle"):
+                now.append(t)
+            if op == "tag" or (op == "toggle_tag" and ensure):
+                vocabulary.add(t)
+    rng.shuffle(log)
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = E.fold_edits(frame([("/b",), ("/d",)], "path string"), frame(list(base.items()), "path string, tags array<string>"), frame([("q",)], "tag string"), frame(log, "seq long, path string, op string, tag string, ensure boolean"))
+    assert column(got[0], "path") == sorted(fav) and column(got[2], "tag") == sorted(vocabulary)
+    assert {r.path: r.tags for r in got[1].collect()} == {p: t for p, t in tags.items() if t}
+    nothing = E.fold_edits(*[d.where("false") for d in (frame([("/b",)], "path string"), frame([("/a", ["x"])], "path string, tags array<string>"), frame([("q",)], "tag string"), frame(log, "seq long, path string, op string, tag string, ensure boolean"))])
+    assert [d.count() for d in nothing] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("budget", [0, 1, 50, 137, 400, 10**6])
 def test_retention(spark, budget):
     rng = random.Random(budget)
@@ -158,12 +190,51 @@ def test_save_plan_routes_tags(spark):
     assert {k: (d.tags, d.tagNames) for k, d in data.items()} == {"/lib/a": ({"y.jpg": ["u", "v"]}, ["t", "u"]), "/lib/a/sub": ({"x.jpg": ["t"]}, ["t", "u"])}
 
 
+def one_after_another(uploads, taken):
+    """Free names by going through the uploads (ord, name, dir) one by one."""
+    used, out = set(taken), []
+    for o, name, d in sorted(uploads, key=lambda u: (u[0] is not None, u[0] or 0, u[1], u[2])):
+        base, dot, ext = name.rpartition(".")
+        free, n = name, 0
+        while (d, free) in used:
+            n += 1
+            free = f"{base}-{n}.{ext.lower()}" if dot else f"{name}-{n}"
+        used.add((d, free))
+        out.append((o, name, free, d))
+    return sorted(out, key=str)
+
+
 def test_free_names_never_meet(spark):
     rows = [(1, "a.jpg"), (2, "a.jpg"), (3, "a-1.jpg"), (4, "B.JPG"), (5, "B.JPG"), (6, "b.png"), (7, "c.jpg"), (8, "c.jpg"), (9, "noext"), (10, "noext")]
     taken = spark.createDataFrame([("c-1.jpg",), ("b.png",), ("a-1-1.jpg",)], "name string")
     got = {r.ord: r.stored for r in M.free_names(spark.createDataFrame(rows, "ord long, name string"), taken).collect()}
     want = ["a.jpg", "a-1.jpg", "a-1-2.jpg", "B.JPG", "B-1.jpg", "b-1.png", "c.jpg", "c-2.jpg", "noext", "noext-1"]
     assert [got[i] for i in range(1, 11)] == want
+    assert M.free_names(spark.createDataFrame([], "ord long, name string"), taken).count() == 0
+    none = M.free_names(spark.createDataFrame([(1, None), (None, "a.jpg"), (None, "a.jpg")], "ord long, name string"), taken)
+    assert sorted((r.name or "", r.stored or "") for r in none.collect()) == [("", ""), ("a.jpg", "a-1.jpg"), ("a.jpg", "a.jpg")]
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_free_names_are_those_of_a_loop(spark, seed):
+    rng = random.Random(seed)
+    bits = ["a.jpg", "a.JPG", "a-1.jpg", "a-2.jpg", "a-1-1.jpg", "a-1-2.jpg", "a-01.jpg", "a-3.JPG", "-1.jpg", "b", "b-1", "a-4.jpg", "a-2-1.jpg"]
+    if seed == 3:
+        bits = [f"a-{i}.jpg" for i in range(1, 40)] + ["a.jpg"] * 40
+    uploads = [(i if rng.random() < 0.9 else None, rng.choice(bits), rng.choice(["/x", "/y"])) for i in range(150)]
+    taken = {(rng.choice(["/x", "/y", "/z"]), rng.choice([*bits, "a-7.jpg", "a-9.jpg"])) for _ in range(12)}
+    got = M.free_names(spark.createDataFrame(uploads, "ord long, name string, dir string"), spark.createDataFrame(list(taken), "dir string, name string"))
+    assert sorted(map(tuple, got.select("ord", "name", "stored", "dir").collect()), key=str) == one_after_another(uploads, taken)
+
+
+def test_camera_names_are_shared_out(spark):
+    n = 200_000
+    up = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("photo-"), (F.col("id") + 1).cast("string"), F.lit(".jpg")).alias("name"))
+    up = up.unionByName(spark.createDataFrame([(n + i, "photo.jpg") for i in range(3)], "ord long, name string"))
+    got = M.free_names(up, spark.createDataFrame([("photo-7.jpg",)], "name string"))
+    assert got.where("ord < 200000 and stored <> name").select("stored").collect() == [Row(stored="photo-7-1.jpg")]
+    assert column(got.where("ord >= 200000"), "stored") == ["photo-200001.jpg", "photo-200002.jpg", "photo.jpg"]
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
 
 def test_sidecars_outside_the_roots_are_not_written(spark):
@@ -207,12 +278,29 @@ def streamed(spark, tmp_path, rows, ddl, work, mode="append"):
 
 def test_upload_stream(spark, tmp_path):
     at = "2024-01-01 00:00:0"
-    rows = [[(at + "1", "/r", "guest photo!.jpg", 5), (at + "2", "/r", "evil.exe", 5)], [(at + "3", "/r", "guest photo!.jpg", 9), (at + "4", "/r", "clip.mov", 1)]]
+    rows = [[(at + "1", "/r", "guest photo!.jpg", 5), (at + "2", "/r", "evil.exe", 5), (at + "2", "/r", None, 5)], [(at + "3", "/r", "guest photo!.jpg", 9), (at + "4", "/r", "clip.mov", 1)]]
     got = streamed(spark, tmp_path, rows, "ts string, root string, name string, size long", T.accepted_uploads)
-    assert sorted(r.name for r in got) == ["clip.mov", "guest photo_.jpg"]
-    batch = spark.createDataFrame([(1, "clip.mov"), (2, "a.jpg")], "ts long, name string")
-    named = T.name_batch(batch, spark.createDataFrame([("a.jpg", "a.jpg", "image")], "name string, path string, type string"))
-    assert sorted((r.name, r.type) for r in named.collect()) == [("a-1.jpg", "image"), ("a.jpg", "image"), ("clip.mov", "video")]
+    assert sorted((r.name, r.size, r.dir) for r in got) == [("clip.mov", 1, "/r/guests"), ("guest photo_.jpg", 5, "/r/guests"), ("guest photo_.jpg", 9, "/r/guests")]
+
+
+def test_uploads_go_to_their_dir(spark):
+    catalog = spark.createDataFrame([("a.jpg", "/lib/guests/a.jpg", "image"), ("b.jpg", "/lib/other/b.jpg", "image")], "name string, path string, type string")
+    batch = spark.createDataFrame([(1, "a.jpg"), (2, "b.jpg"), (3, "clip.mov")], "ts long, name string")
+    named = sorted(map(tuple, T.name_batch(batch, catalog, "/lib/guests").collect()))
+    assert named == [("a-1.jpg", "/lib/guests/a-1.jpg", "image"), ("b.jpg", "/lib/guests/b.jpg", "image"), ("clip.mov", "/lib/guests/clip.mov", "video")]
+    assert C.append_absent(catalog, spark.createDataFrame(named, catalog.schema)).count() == 5
+
+
+def test_no_upload_is_lost_over_batches(spark, tmp_path):
+    catalog = spark.createDataFrame([("a.jpg", "/r/guests/a.jpg", "image")], "name string, path string, type string")
+    sink = T.UploadSink(f"file://{tmp_path}/uploads", catalog)
+    ddl = "ts long, name string, dir string"
+    batches = [[(1, "a.jpg", "/r/guests"), (2, "a.jpg", "/r/guests")], [(3, "a.jpg", "/r/guests"), (4, "b.jpg", "/r/guests"), (5, "a.jpg", "/q/guests")], [(6, "a-1.jpg", "/r/guests"), (7, "b.jpg", "/r/guests")]]
+    for i in (0, 1, 1, 2, 0):  # some are delivered again
+        sink(spark.createDataFrame(batches[i], ddl), i)
+    everything = [(o, n, d) for b in batches for o, n, d in b]
+    want = sorted(f"{d}/{stored}" for _, _, stored, d in one_after_another(everything, {("/r/guests", "a.jpg")}))
+    assert column(sink.stored(spark), "path") == want == sorted(set(want))
 
 
 def test_burst_and_latest_streams(spark, tmp_path):
