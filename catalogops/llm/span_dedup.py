@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import slices
+from catalogops.plans.staging import written
 
 WINDOW = 50
 GRAM = 20
@@ -141,19 +142,21 @@ def _from_planes(blob: pa.Buffer, at: int, n: int, width: int, kind) -> np.ndarr
 
 
 #: A bucket has its grams by the upper half of their hash, so that the lower half tells them apart.
-_FIELDS = (("gram", 4, _U), ("context", 8, _U), ("doc", 8, np.int64), ("tag", 2, np.int64), ("pos", 5, np.int64))
-_BYTES = sum(w for _, w, _ in _FIELDS)
+#: The tag takes room only where ids repeat.
+_FIELDS = (("gram", 4, _U), ("context", 8, _U), ("doc", 8, np.int64), ("pos", 5, np.int64))
+_TAGGED = (*_FIELDS, ("tag", 8, np.int64))
 
 
-def _pack(columns: dict) -> bytes:
-    return b"".join(_planes(columns[name].astype(kind), width) for name, width, kind in _FIELDS)
+def _pack(columns: dict, fields: tuple) -> bytes:
+    return b"".join(_planes(columns[name].astype(kind), width) for name, width, kind in fields)
 
 
-def _unpack(blobs: list[pa.Buffer]) -> dict:
-    got = {name: [] for name, _, _ in _FIELDS}
+def _unpack(blobs: list[pa.Buffer], fields: tuple) -> dict:
+    got = {name: [] for name, _, _ in fields}
+    row_bytes = sum(w for _, w, _ in fields)
     for blob in blobs:
-        n, at = len(blob) // _BYTES, 0
-        for name, width, kind in _FIELDS:
+        n, at = len(blob) // row_bytes, 0
+        for name, width, kind in fields:
             got[name].append(_from_planes(blob, at, n, width, kind))
             at += n * width
     return {k: np.concatenate(v) for k, v in got.items()}
@@ -189,7 +192,7 @@ def _piece_batches(batch: pa.RecordBatch):
         yield held, texts
 
 
-def _first_pass(buckets: int):
+def _first_pass(buckets: int, fields: tuple):
     """Anchors by bucket of their gram; contexts repeated within the piece are settled here."""
 
     def run(batches):
@@ -215,7 +218,7 @@ def _first_pass(buckets: int):
                 order = np.lexsort((kept["gram"], bucket))
                 kept, bucket = {k: v[order] for k, v in kept.items()}, bucket[order]
                 edges = np.flatnonzero(_starts(bucket))
-                rows = [_pack({k: v[a:b] for k, v in kept.items()}) for a, b in zip(edges, [*edges[1:], len(bucket)])]
+                rows = [_pack({k: v[a:b] for k, v in kept.items()}, fields) for a, b in zip(edges, [*edges[1:], len(bucket)])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edges].astype(np.int64)), "blob": pa.array(rows, pa.binary()), **_no_marks(len(rows))})
 
     return run
@@ -232,9 +235,9 @@ def _mark_rows(doc, tag, mark, buckets):
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "blob": pa.nulls(len(doc), pa.binary()), "doc": pa.array(doc), "tag": pa.array(tag), "mark": pa.array(mark)})
 
 
-def _settle_bucket(blobs: list[pa.Buffer], max_contexts: int) -> pa.RecordBatch:
+def _settle_bucket(blobs: list[pa.Buffer], max_contexts: int, fields: tuple) -> pa.RecordBatch:
     """Marks (doc, tag, position * 4 + kind) of a bucket: settled contexts, and heads that go on."""
-    got = _unpack(blobs)
+    got = _unpack(blobs, fields)
     order = np.argsort(got["gram"])
     order = order[_several(got["gram"][order])]  # the first digit alone settles most suffixes
     got = {k: v[order] for k, v in got.items()}
@@ -252,10 +255,11 @@ def _settle_bucket(blobs: list[pa.Buffer], max_contexts: int) -> pa.RecordBatch:
     goes_on = ~later & (contexts > 1) & (low < high)
     kind = np.where(later, FULL, np.where(contexts > max_contexts, HOT, HEAD))
     out = later | goes_on
-    return pa.RecordBatch.from_pydict({"doc": pa.array(got["doc"][out]), "tag": pa.array(got["tag"][out]), "mark": pa.array((got["pos"] * 4 + kind)[out])})
+    tag = got["tag"][out] if "tag" in got else np.zeros(int(out.sum()), np.int64)
+    return pa.RecordBatch.from_pydict({"doc": pa.array(got["doc"][out]), "tag": pa.array(tag), "mark": pa.array((got["pos"] * 4 + kind)[out])})
 
 
-def _first_groups(max_contexts: int):
+def _first_groups(max_contexts: int, fields: tuple):
     """Rows come sorted by bucket; a bucket is settled when all its blobs are there, which are held as views of their batches."""
 
     def run(batches):
@@ -267,11 +271,11 @@ def _first_groups(max_contexts: int):
             for i in np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 if buckets[i] != current:
                     if held:
-                        yield _settle_bucket(held, max_contexts)
+                        yield _settle_bucket(held, max_contexts, fields)
                     held, current = [], buckets[i]
                 held.append(blobs[i].as_buffer())
         if held:
-            yield _settle_bucket(held, max_contexts)
+            yield _settle_bucket(held, max_contexts, fields)
 
     return run
 
@@ -490,19 +494,18 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id come after all others.  An empty table gives no rows; other columns are not used.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.pmod(F.xxhash64(text_col), F.lit(1 << 16)), F.lit(0)).cast("long").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.lit(0).cast("long").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    # The tag tells rows of one id apart; where no id repeats it is zero, takes no room and is no key.
-    keys = ["id", "tag"]
-    if rows.groupBy("id").count().where("count > 1").isEmpty():
-        rows, keys = rows.withColumn("tag", F.lit(0).cast("long")), ["id"]
+    keys, fields = ["id"], _FIELDS
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        # A number tells rows of one id apart.  It is written with its text, so that both joins see the same one.
+        keys, fields = ["id", "tag"], _TAGGED
+        rows = written(rows.withColumn("tag", F.monotonically_increasing_id()), "numbered-texts")
     # One exchange of the texts serves both joins.
     texts = rows.repartition(*keys)
     marks = "doc long, tag long, mark long"
-    first = rows.mapInArrow(_first_pass(buckets), f"bucket long, blob binary, {marks}").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_groups(max_contexts), marks)
+    first = rows.mapInArrow(_first_pass(buckets, fields), f"bucket long, blob binary, {marks}").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_groups(max_contexts, fields), marks)
     by_row = lambda m, name: m.select(F.col("doc").alias("id"), *keys[1:], "mark").groupBy(*keys).agg(F.collect_list("mark").alias(name))
     # Settled marks go to the end at once; one exchange of the first marks serves both joins.
     settled = by_row(first, "marks")

@@ -113,6 +113,29 @@ def test_span_dedup_of_repeated_ids(spark):
     assert got == [(0, 120, 120, 1), (1, 120, 0, 0), (1, 120, 0, 0), (1, 120, 0, 0), (2, 240, 240, 1), (3, 0, 0, 0)]
 
 
+def test_span_dedup_of_very_many_repeated_ids(spark):
+    """Unique texts lose nothing, however many rows share their id or have none."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared = text(60)
+    rows = [(None if i % 2 else 7, text(rng.choice([70, 200])) + (shared if i % 50 < 2 else "") + text(20)) for i in range(4000)]
+    rows += [(1, shared), (9, shared)]
+    first = {}
+    for i, t in rows:
+        for at in range(len(t) - 49):
+            w = t[at : at + 50]
+            first[w] = min(first.get(w, 2**63), 2**63 - 1 if i is None else i)
+    want = []
+    for i, t in rows:
+        gone = set()
+        for at in range(len(t) - 49):
+            if first[t[at : at + 50]] < (2**63 - 1 if i is None else i):
+                gone.update(range(at, at + 50))
+        want.append((str(i), len(t), "".join(c for k, c in enumerate(t) if k not in gone)))
+    got = span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_bytes, r.kept.decode()) for r in got.select("doc_id", "n_bytes", "kept").collect()) == sorted(want)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
