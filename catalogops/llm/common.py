@@ -59,6 +59,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand batches of at most ``SLICE_BYTES`` (or one row) to Python in this session, if it would hand larger ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "-1"))
+    if not 0 < now <= SLICE_BYTES:
+        spark.conf.set(key, str(SLICE_BYTES))
+
+
 def with_arrow(df: DataFrame, added: str, text: str, work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``added`` (a DDL string) that a Python function gives for each batch.
 
@@ -66,6 +74,7 @@ def with_arrow(df: DataFrame, added: str, text: str, work: Callable[[], Callable
     caches live as long as the task.  A column of ``df`` that bears an added
     name is replaced; those in ``drop`` go after use; all others pass through.
     """
+    bounded_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in new.names and f.name not in drop]
     schema = StructType(kept + new.fields)
@@ -77,6 +86,8 @@ def with_arrow(df: DataFrame, added: str, text: str, work: Callable[[], Callable
             for piece in slices(batch, text):
                 got = each(piece)
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + got, names + new.names)
+            # Workers are used again by later stages, and do not keep what this one has freed.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -174,9 +174,9 @@ def held_out(id_col: str = "doc_id"):
 
 def accepted(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """Rows of ``docs`` whose language is known with at least ``min_score``."""
-    marked = identify(docs.select("*", F.col(text_col).alias("__text")), net, "__text")
     clash = [c for c in ("lang_pred", "score") if c in docs.columns]
     if clash:  # keep the caller's columns of these names
         packed = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"))
         return identify(packed, net, "__text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("__row.*")
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    # The text goes to Python once.
+    return identify(docs, net, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
