@@ -62,8 +62,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def bounded_batches(spark: SparkSession) -> None:
     """Let Spark hand batches of at most ``SLICE_BYTES`` (or one row) to Python in this session, if it would hand larger ones."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "-1"))
-    if not 0 < now <= SLICE_BYTES:
+    now = spark.conf.get(key).rstrip("b")  # a user's own setting with a unit stays
+    if now.isdigit() and int(now) > SLICE_BYTES:
         spark.conf.set(key, str(SLICE_BYTES))
 
 
