@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.functions import scalars as S
 from catalogops.operators.components import connected_components
 from catalogops.plans.staging import written
 
+#: Most bits of a sketch of sizes: half a megabyte.
+MAX_SKETCH_BITS = 1 << 22
+
 
 def same_size(files: DataFrame) -> DataFrame:
     """Non-empty files whose size occurs at least twice: only these need a digest."""
@@ -17,18 +20,55 @@ def same_size(files: DataFrame) -> DataFrame:
     return sized.join(several, "size", "left_semi")
 
 
+def size_sketch(files: DataFrame) -> bytes | None:
+    """Bits of the hashes of sizes that several paths of ``(path, size)`` have; None where so many repeat that the sketch would rule out little.
+
+    Sixteen bits a size, from 1,024 up to ``MAX_SKETCH_BITS``: a size that does not repeat is taken for one that does at most once in sixteen times,
+    or, above 262,144 such sizes, as often as the sketch is full.
+    """
+    sizes = files.where("size > 0").select("path", "size").dropDuplicates(["path"]).groupBy("size").count().where("count > 1").select(F.col("size").cast("long").alias("size"))
+    sizes = written(sizes, "repeated-sizes")
+    n = sizes.count()
+    bits = min(MAX_SKETCH_BITS, max(1024, 1 << (16 * n - 1).bit_length()))
+    if 2 * n > bits:
+        return None
+    at = F.pmod(F.xxhash64("size"), F.lit(bits))
+    words = sizes.select((at / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(size), {bits}) % 32 as int))").alias("bit"))
+    # At most one row for every 32 bits.
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    sketch = bytearray(bits // 8)
+    for r in found:
+        sketch[4 * r.word : 4 * r.word + 4] = r.bits.to_bytes(4, "little")
+    return bytes(sketch)
+
+
+def may_repeat(size: Column, sketch: bytes | None) -> Column:
+    """Whether a size may be among those of a sketch; empty files never are."""
+    some = F.coalesce(size, F.lit(0)) > 0
+    if sketch is None:
+        return some
+    at = F.pmod(F.xxhash64(size.cast("long")), F.lit(8 * len(sketch))).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(sketch)), F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return some & (F.call_function("getbit", byte, at % 8) == 1)
+
+
 def exact_duplicates(files: DataFrame, include_videos: bool = True) -> DataFrame:
     """``(hash, path)`` of every member of a group of equal content; files ``(path, size, content[, type])``.
 
-    Content is digested where it is read, once, so that only paths, sizes and digests are shuffled.
+    Sizes are counted first, without the content.  Only content whose size repeats, by a sketch, is digested, where it is
+    read, so that only paths, sizes and digests are shuffled.
     """
-    rows = files.where(F.coalesce("size", F.lit(0)) > 0)
-    if not include_videos and "type" in rows.columns:
-        rows = rows.where("type = 'image'")
-    rows = written(rows.select("path", "size", S.content_digest(F.col("content")).alias("hash")), "digests").dropDuplicates(["path"])
-    digests = written(same_size(rows).select("hash", "path").dropna(), "same-size-digests")
-    groups = digests.groupBy("hash").count().where("count > 1").select("hash")
-    return digests.join(groups.hint("merge"), "hash", "left_semi")
+    if not include_videos and "type" in files.columns:
+        files = files.where("type = 'image'")
+    rows = files.where(may_repeat(F.col("size"), size_sketch(files)))
+    return duplicate_groups(rows.select("path", S.content_digest(F.col("content")).alias("hash")))
+
+
+def duplicate_groups(digests: DataFrame) -> DataFrame:
+    """``(hash, path)`` of the paths, each counted once, that share their digest; a file without a digest is in no group."""
+    rows = written(digests.select("path", "hash").dropna(), "digests").dropDuplicates(["path"])
+    groups = rows.groupBy("hash").count().where("count > 1").select("hash")
+    return rows.join(groups.hint("merge"), "hash", "left_semi").select("hash", "path")
 
 
 def hash_pairs(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame:

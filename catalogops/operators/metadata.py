@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from catalogops.functions import scalars as S
-from catalogops.operators.catalog import deepest_owner, under_roots
+from catalogops.plans.staging import written
 
 SIDECAR = StructType(
     [
@@ -20,8 +20,9 @@ SIDECAR = StructType(
 
 
 def parse_sidecars(files: DataFrame) -> DataFrame:
-    """``(dir, data)`` from ``(dir, json)``; malformed JSON is left out."""
-    return files.select("dir", F.from_json("json", SIDECAR).alias("data")).where("data is not null")
+    """``(dir, data)`` from ``(dir, json)``; what is no JSON object is left out, and in an object fields of another type are null."""
+    whole = F.try_parse_json(F.col("json"))
+    return files.where(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))).select("dir", F.from_json("json", SIDECAR).alias("data")).where("data is not null")
 
 
 def merged_favorites(sidecars: DataFrame) -> DataFrame:
@@ -45,33 +46,69 @@ def load_metadata(sidecars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return merged_favorites(sidecars), merged_tags(sidecars), vocabulary(sidecars)
 
 
+#: Words of a vocabulary that are put into every row by a broadcast; a larger one is joined by a shuffle.
+BROADCAST_WORDS = 100_000
+
+
+def _owning_dirs(roots: DataFrame, existing: DataFrame) -> DataFrame:
+    """``(dir, existing, ord, last)``: roots and dirs with a sidecar below them, the root's place, and the place of the last root that holds the dir."""
+    if "ord" not in roots.columns:
+        roots = roots.select("root", F.col("root").alias("ord"))
+    both = existing.select("dir", F.lit(True).alias("existing"), F.lit(None).cast(dict(roots.dtypes)["ord"]).alias("ord"))
+    both = both.unionByName(roots.select(F.col("root").alias("dir"), F.lit(False).alias("existing"), "ord")).where("dir is not null")
+    dirs = both.groupBy("dir").agg(F.max("existing").alias("existing"), F.min("ord").alias("ord"))
+    above = dirs.select("*", F.explode(S.ancestors(F.col("dir"))).alias("root"))
+    holds = above.join(roots.groupBy("root").agg(F.min("ord").alias("at")).hint("merge"), "root")
+    return holds.groupBy("dir").agg(F.first("existing").alias("existing"), F.first("ord").alias("ord"), F.max("at").alias("last"))
+
+
+def _owners(holders: Column) -> Column:
+    """For the dirs that hold a place, outermost first: what each root among them makes the owner."""
+
+    def owner(r: Column) -> Column:
+        near = F.filter(holders, lambda d: (d["n"] >= r["n"]) & (d["existing"] | (d["n"] == r["n"]) | F.coalesce(d["ord"] < r["ord"], F.lit(False))))
+        return F.struct(r["ord"].alias("root"), r["dir"].alias("root_dir"), F.element_at(near, -1).alias("owner"))
+
+    return F.transform(F.filter(holders, lambda d: d["ord"].isNotNull()), owner)
+
+
+def placed_entries(favorites: DataFrame, tags: DataFrame, roots: DataFrame, existing: DataFrame) -> DataFrame:
+    """``(dir, kind, rel, tags)``: each favourite (``f``) and tag list (``t``) in the sidecars that it goes to, and a row ``d`` for every sidecar to write.
+
+    Roots are saved one after another, in the order of ``ord`` or else of their paths.  Within a root an entry goes to the deepest dir
+    that has a sidecar by then, else to the root itself, so one below nested roots can be in a sidecar of each; what is there in the end is what
+    the last root to hold a dir has written.  A root without a sidecar gets one only if its own save has something for it.
+    The owner is found once for each dir that has files, so no file's row is multiplied by its depth.
+    """
+    dirs = written(_owning_dirs(roots, existing), "owning-dirs")
+    entries = favorites.select("path", F.lit("f").alias("kind"), F.lit(None).cast("array<string>").alias("tags"))
+    entries = entries.unionByName(tags.where(F.size("tags") > 0).select("path", F.lit("t").alias("kind"), "tags")).withColumn("parent", S.dirname(F.col("path")))
+    above = entries.select("parent").distinct().select("parent", F.explode(S.ancestors(F.col("parent"))).alias("dir"))
+    held = above.join(dirs.hint("merge"), "dir").groupBy("parent").agg(F.sort_array(F.collect_list(F.struct(F.length("dir").alias("n"), "dir", "existing", "ord", "last"))).alias("h"))
+    held = held.select("parent", _owners(F.col("h")).alias("o"))
+    final = F.transform(F.filter("o", lambda o: o["root"] == o["owner"]["last"]), lambda o: o["owner"]["dir"])
+    made = F.transform(F.filter("o", lambda o: o["root_dir"] == o["owner"]["dir"]), lambda o: o["root_dir"])
+    held = written(held.select("parent", final.alias("final"), made.alias("made")), "owned-dirs")
+    out = entries.join(held.select("parent", "final").hint("merge"), "parent").select("path", "kind", "tags", F.explode("final").alias("dir"))
+    out = out.select("dir", "kind", S.relative_path(F.col("dir"), F.col("path")).alias("rel"), "tags")
+    files = held.select(F.explode("made").alias("dir")).union(dirs.where("existing").select("dir")).distinct()
+    return out.unionByName(files.select("dir", F.lit("d").alias("kind"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("array<string>").alias("tags")))
+
+
 def save_plan(favorites: DataFrame, tags: DataFrame, words: DataFrame, roots: DataFrame, existing: DataFrame) -> DataFrame:
-    """``(dir, json)``: the sidecar to write in each owner dir.
+    """``(dir, json)``: the sidecar to write in each owner dir, as in :func:`placed_entries`.
 
-    Entries go to the deepest dir that has a sidecar, else to their root;
-    those outside the roots and empty tag lists are skipped, and so are sidecars outside them.  An owner without content is written only where a sidecar exists.
-    The vocabulary, a list of words people chose, is copied to every file.
+    Entries outside the roots and empty tag lists are skipped, and so are sidecars outside them.  The sorted vocabulary is copied to every file.  A
+    sidecar is one row; ``media.save_sidecars`` writes the same files from sorted entries, without such rows.
     """
-    existing = under_roots(existing.select(F.col("dir").alias("path")), roots).select(F.col("path").alias("dir"))
-    dirs = existing.select("dir").union(roots.select(F.col("root").alias("dir"))).distinct()
-    inside = lambda rows: under_roots(rows, roots)
-    placed = lambda rows: rows.join(deepest_owner(rows.select("path"), dirs).hint("merge"), "path").withColumn("rel", S.relative_path(F.col("owner"), F.col("path")))
-    fav = placed(inside(favorites.select("path"))).groupBy(F.col("owner").alias("dir")).agg(F.sort_array(F.collect_set("rel")).alias("favorites"))
-    tag = placed(inside(tags.where(F.size("tags") > 0))).groupBy(F.col("owner").alias("dir")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rel", "tags")))).alias("tags"))
-    names = words.agg(F.sort_array(F.collect_set("tag")).alias("tagNames"))
-    owners = fav.select("dir").union(tag.select("dir")).union(existing.select("dir")).distinct()
-    rows = owners.join(fav, "dir", "left").join(tag, "dir", "left").join(F.broadcast(names))
-    return rows.select(
-        "dir",
-        F.to_json(
-            F.struct(
-                F.lit(1).alias("version"),
-                F.coalesce("favorites", F.array().cast("array<string>")).alias("favorites"),
-                F.coalesce("tags", F.create_map().cast("map<string,array<string>>")).alias("tags"),
-                "tagNames",
-            )
-        ).alias("json"),
-    )
+    entries = placed_entries(favorites, tags, roots, existing)
+    fav = F.sort_array(F.collect_set(F.when(F.col("kind") == "f", F.col("rel")))).alias("favorites")
+    tag = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == "t", F.struct("rel", "tags"))))).alias("tags")
+    rows = entries.groupBy("dir").agg(fav, tag)
+    names = written(words.where("tag is not null").agg(F.sort_array(F.collect_set("tag")).alias("tagNames")).select("tagNames", F.lit(0).alias("one")), "vocabulary")
+    few = names.where(F.size("tagNames") <= BROADCAST_WORDS).count() > 0
+    rows = rows.withColumn("one", F.lit(0)).join(names.hint("broadcast" if few else "merge"), "one")
+    return rows.select("dir", F.to_json(F.struct(F.lit(1).alias("version"), "favorites", "tags", "tagNames")).alias("json"))
 
 
 def toggled(favorites: DataFrame, log: DataFrame) -> DataFrame:

@@ -254,6 +254,14 @@ def exact_duplicates(spark, sf_dir):
     return D.exact_duplicates(d.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("text").alias("content")))
 
 
+@_query(_WITH + """, g AS (SELECT doc_id, sha256(text) AS hash, count(*) OVER (PARTITION BY text) AS n FROM documents JOIN catalog USING (doc_id) WHERE documents.n_chars > 0 AND type = 'image')
+SELECT hash, doc_id AS path FROM g WHERE n > 1""")
+def exact_duplicate_images(spark, sf_dir):
+    types = F.element_at(F.array(*map(F.lit, _EXT)), (F.col("doc_id") % len(_EXT) + 1).cast("int"))
+    d = _read(spark, sf_dir, "documents").withColumn("type", S.media_type(F.concat(F.lit("x."), types)))
+    return D.exact_duplicates(d.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("text").alias("content"), "type"), include_videos=False)
+
+
 @_query(_HASHES + "SELECT path, hash FROM hashes")
 def block_hashes(spark, sf_dir):
     return _histogram_hashes(spark, sf_dir)

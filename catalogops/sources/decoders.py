@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def _decoded(files: DataFrame, decode: Callable[[bytes], object], column: str, kind: str, content_col: str) -> DataFrame:
+def _decoded(files: DataFrame, decode: Callable[[bytes], object], convert: Callable[[object], object], column: str, kind: str, content_col: str) -> DataFrame:
     kept = [f for f in files.schema.fields if f.name not in (content_col, column)]
     names = [f.name for f in kept]
 
     def safe(content):
         try:
-            return None if content is None else decode(bytes(content))
+            found = None if content is None else decode(bytes(content))
+            return None if found is None else convert(found)
         except Exception:  # a broken file has no result and stops nothing
             return None
 
@@ -27,9 +28,9 @@ def _decoded(files: DataFrame, decode: Callable[[bytes], object], column: str, k
 
 def rasters(files: DataFrame, decode: Callable[[bytes], Sequence[float]], content_col: str = "content") -> DataFrame:
     """``files`` with ``raster``, an array of numbers, in place of the content; null where there is no content or ``decode`` fails."""
-    return _decoded(files, decode, "raster", "array<double>", content_col)
+    return _decoded(files, decode, lambda r: [float(x) for x in r], "raster", "array<double>", content_col)
 
 
 def raw_tags(files: DataFrame, decode: Callable[[bytes], Mapping[str, str]], content_col: str = "content") -> DataFrame:
     """``files`` with ``raw_tags``, a map of strings, in place of the content; null where there is no content or ``decode`` fails."""
-    return _decoded(files, decode, "raw_tags", "map<string,string>", content_col)
+    return _decoded(files, decode, lambda t: {str(k): None if v is None else str(v) for k, v in t.items()}, "raw_tags", "map<string,string>", content_col)

@@ -6,15 +6,26 @@ skips only dot names (unless asked), keeps empty files, does not follow links an
 
 from __future__ import annotations
 
+import dataclasses
 import errno
+import functools
+import hashlib
+import itertools
+import json
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from catalogops.functions import scalars as S
+from catalogops.operators import duplicates as D
+from catalogops.operators.metadata import placed_entries
+from catalogops.plans.staging import written
+
+#: Bytes of a file that are held at a time.
+PIECE = 1 << 20
 
 
 class _Dir(InputPartition):
@@ -96,9 +107,56 @@ def duplicate_candidates(spark: SparkSession, roots: list[str], kind: str = "ima
     return union_scans(rows, "path")
 
 
-def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``(dir, json)`` of every file of a (dot) name below a root; each task reads its own files, unreadable ones are left out."""
-    rows = scan(spark, root, include_dot=True).where((F.col("name") == name) & (F.col("status") == "file")).select("path")
+def duplicate_files(spark: SparkSession, roots: list[str], include_videos: bool = True) -> DataFrame:
+    """``(hash, path)`` of files of equal content below the roots: candidates, sizes that repeat, digests, groups.
+
+    Only files whose size repeats are opened.
+    """
+    return D.duplicate_groups(digests(hash_candidates(spark, roots, include_videos).repartition("path")))
+
+
+def hash_candidates(spark: SparkSession, roots: list[str], include_videos: bool = True) -> DataFrame:
+    """``(path, size)`` of the files of the duplicate profile that have to be digested."""
+    kinds = ["images", "videos"] if include_videos else ["images"]
+    files = written(functools.reduce(DataFrame.unionByName, [duplicate_candidates(spark, roots, k) for k in kinds]), "duplicate-candidates")
+    return files.where(D.may_repeat(F.col("size"), D.size_sketch(files)))
+
+
+def _content(path: str):
+    """A file to read, on a local disk or in any store that its URI names."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inside)
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """``(path, hash)``: SHA-256 of each file, read in pieces by the task that holds its path; unreadable files are left out."""
+
+    def one(path):
+        whole = hashlib.sha256()
+        try:
+            with _content(path) as f:
+                while piece := f.read(PIECE):
+                    whole.update(piece)
+        except OSError:
+            return None
+        return whole.hexdigest()
+
+    def run(frames):
+        for frame in frames:
+            out = frame[["path"]].assign(hash=frame["path"].map(one))
+            yield out[out["hash"].notna()]
+
+    return files.select("path").mapInPandas(run, "path string, hash string")
+
+
+def sidecars(spark: SparkSession, root: str | list[str], name: str) -> DataFrame:
+    """``(dir, json)`` of every file of a (dot) name below a root, or once below any of several; each task reads its own files, unreadable ones are left out."""
+    found = [scan(spark, r, include_dot=True).where((F.col("name") == name) & (F.col("status") == "file")).select("path") for r in ([root] if isinstance(root, str) else root)]
+    rows = found[0] if len(found) == 1 else functools.reduce(DataFrame.union, found).distinct()
 
     def text(path):
         try:
@@ -116,24 +174,92 @@ def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows.mapInPandas(read, "dir string, json string")
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """``(path, hash)``: SHA-256 of each file, read in pieces by the task that holds its path; unreadable files are left out."""
-    import hashlib
+@dataclasses.dataclass
+class _Files(WriterCommitMessage):
+    """Files that a task has written, as (part, final path)."""
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for p in frame["path"]:
-                try:
-                    with open(p, "rb") as f:
-                        out.append((p, hashlib.file_digest(f, "sha256").hexdigest()))
-                except OSError:
-                    continue
-            import pandas as pd
+    parts: list[tuple[str, str]]
 
-            yield pd.DataFrame(out, columns=["path", "hash"])
 
-    return files.select("path").mapInPandas(run, "path string, hash string")
+class _SidecarWriter(DataSourceWriter):
+    """Streams sorted entries into one part file a dir; the parts take their final names when all tasks are done."""
+
+    def __init__(self, options):
+        self.name = options["name"]
+        self.words = json.loads(options["words"])
+        self.job = uuid.uuid4().hex
+
+    def write(self, rows):
+        done = []
+        try:
+            for dir_, entries in itertools.groupby(rows, key=lambda r: r.dir):
+                part = os.path.join(dir_, f"{self.name}.{self.job}.{uuid.uuid4().hex}.part")
+                done.append((part, os.path.join(dir_, self.name)))
+                with open(part, "w", encoding="utf-8") as f:
+                    self._put(f, entries)
+        except BaseException:
+            self._drop(done)
+            raise
+        return _Files(done)
+
+    def _put(self, f, entries):
+        """Favourites come before tags, each sorted; only the entry at hand is held."""
+        quoted = lambda x: json.dumps(x, ensure_ascii=False)
+        f.write('{"version":1,"favorites":[')
+        state, first, last = "f", True, None
+        for r in entries:
+            if r.kind == "d" or (r.kind, r.rel) == last:
+                continue
+            last = (r.kind, r.rel)
+            if r.kind != state:
+                f.write('],"tags":{')
+                state, first = r.kind, True
+            f.write(("" if first else ",") + quoted(r.rel) + (":" + quoted(r.tags) if state == "t" else ""))
+            first = False
+        f.write(("" if state == "t" else '],"tags":{') + '},"tagNames":' + quoted(self.words) + "}")
+
+    def _drop(self, parts):
+        for part, _ in parts:
+            if os.path.exists(part):
+                os.remove(part)
+
+    def commit(self, messages):
+        for m in messages:
+            for part, final in m.parts if m else ():
+                os.replace(part, final)
+
+    def abort(self, messages):
+        for m in messages:
+            self._drop(m.parts if m else ())
+
+
+class SidecarFiles(DataSource):
+    """``df.write.format("sidecar_files")``: rows ``(dir, kind, rel, tags)`` sorted by dir, kind and rel, as one JSON file a dir."""
+
+    @classmethod
+    def name(cls):
+        return "sidecar_files"
+
+    def schema(self):
+        return "dir string, kind string, rel string, tags array<string>"
+
+    def writer(self, schema, overwrite):
+        return _SidecarWriter(self.options)
+
+
+def save_sidecars(favorites: DataFrame, tags: DataFrame, words: DataFrame, roots: DataFrame, existing: DataFrame, name: str) -> None:
+    """Write the sidecars of ``metadata.save_plan``, streamed from sorted entries, so that an owner of very many files takes no more memory than one of few.
+
+    All files take their names when every task is done; a lost task, or a job that fails before, leaves the old ones.  The
+    vocabulary is sent to each task.
+    """
+    spark = favorites.sparkSession
+    spark.dataSource.register(SidecarFiles)
+    known = sorted(r.tag for r in words.where("tag is not null").select("tag").distinct().collect())
+    rows = placed_entries(favorites, tags, roots, existing).select("dir", "kind", "rel", "tags")
+    # A dir's rows meet in one task, sorted: the file is written as they come.
+    rows = rows.repartition("dir").sortWithinPartitions("dir", "kind", "rel")
+    rows.write.format("sidecar_files").option("name", name).option("words", json.dumps(known)).mode("append").save()
 
 
 def write_sidecars(plan: DataFrame, name: str) -> None:

@@ -310,3 +310,104 @@ def test_burst_and_latest_streams(spark, tmp_path):
     assert sorted((r.value, r.n) for r in got) == [("b", 2), ("c", 1)]
     last = streamed(spark, tmp_path / "l", rows, "ts string, key string, value string", T.latest_values, "complete")
     assert [(r.key, r.value) for r in last] == [("k", "d")]
+
+
+def test_only_files_whose_size_repeats_are_hashed(spark, tmp_path):
+    content = {"one.jpg": "identical-bytes", "two.jpg": "identical-bytes", "other.jpg": "different-bytes", "small.png": "tiny", "big.webp": "b" * 99, "e1.gif": "", "e2.gif": "", "v.mov": "clip", "w.mkv": "clip", "notes.txt": "tiny"}
+    for name, text in content.items():
+        p = tmp_path / "in" / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_text(text)
+    root = str(tmp_path / "in")
+    names = lambda df: [p.rsplit("/", 1)[1] for p in column(df, "path")]
+    # 4 bytes: a picture and two videos; 15 bytes: three pictures.
+    assert names(media.hash_candidates(spark, [root, root])) == ["one.jpg", "other.jpg", "small.png", "two.jpg", "v.mov", "w.mkv"]
+    assert names(media.duplicate_files(spark, [root, root])) == ["one.jpg", "two.jpg", "v.mov", "w.mkv"]
+    assert names(media.hash_candidates(spark, [root], include_videos=False)) == ["one.jpg", "other.jpg", "two.jpg"]
+    assert names(media.duplicate_files(spark, [root], include_videos=False)) == ["one.jpg", "two.jpg"]
+    gone = spark.createDataFrame([(str(tmp_path / "none"),), (f"file://{root}/one.jpg",)], "path string")
+    assert [r.hash for r in media.digests(gone).collect()] == [__import__("hashlib").sha256(b"identical-bytes").hexdigest()]
+
+
+def test_size_sketch(spark, monkeypatch):
+    rows = [(i, i) for i in range(1, 3001)] + [(10_000 + i, i * 7) for i in range(1, 200)] + [(20_000, 0), (20_001, 0), (20_002, None), (1, 1)]
+    files = spark.createDataFrame(rows, "path long, size long")
+    several = {s for _, s in rows[3000:3199] if s <= 3000}
+    got = {r.size for r in files.where(D.may_repeat(F.col("size"), D.size_sketch(files))).collect()}
+    assert several <= got and len(got - several) < 400 and 0 not in got and None not in got
+    monkeypatch.setattr(D, "MAX_SKETCH_BITS", 128)
+    assert D.size_sketch(files) is None and files.where(D.may_repeat(F.col("size"), None)).count() == 3200
+    assert D.exact_duplicates(files.where("false").withColumn("content", F.lit("x"))).count() == 0
+
+
+def saved(roots, existing, favorites, tags, words):
+    """What is in the sidecars after the roots are saved one after another."""
+    under = lambda d, p: p == d or p.startswith(d + "/")
+    files = {d: None for d in existing}
+    for root in roots:
+        have = {d for d in files if under(root, d)}
+        dirs = sorted(have | {root}, key=len, reverse=True)
+        owner = lambda p: next(d for d in dirs if under(d, p))  # noqa: B023, E731
+        new = {d: (set(), {}) for d in dirs}
+        for p in favorites:
+            if under(root, p):
+                new[owner(p)][0].add(p[len(owner(p)) + 1 :])
+        for p, t in tags.items():
+            if under(root, p) and t:
+                new[owner(p)][1][p[len(owner(p)) + 1 :]] = t
+        files |= {d: (sorted(f), t, sorted(words)) for d, (f, t) in new.items() if f or t or d in have}
+    return {d: f for d, f in files.items() if f is not None}
+
+
+def metadata(spark, roots, existing, favorites, tags, words):
+    rows = lambda data, ddl: spark.createDataFrame(data, ddl)
+    return (
+        rows([(p,) for p in favorites], "path string"), rows(list(tags.items()), "path string, tags array<string>"), rows([(w,) for w in words], "tag string"),
+        rows([(r, i) for i, r in enumerate(roots)], "root string, ord int"), rows([(d,) for d in existing], "dir string"),
+    )
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_save_plan_of_nested_roots(spark, seed):
+    rng = random.Random(seed)
+    places = ["/l", "/l/a", "/l/a/b", "/l/a/b/c", "/l/d", "/m", "/m/x", "/l2"]
+    roots = rng.sample(places[:6], 4)
+    existing = rng.sample(places, 4)
+    paths = [f"{rng.choice(places)}/{rng.choice('pqrst')}.jpg" for _ in range(40)]
+    favorites, tags = set(paths[:20]), {p: rng.choice([["t"], ["u", "t"], []]) for p in paths[10:]}
+    plan = X.save_plan(*metadata(spark, roots, existing, favorites, tags, ["u", "t"]))
+    got = {r.dir: (r.d.favorites, r.d.tags, r.d.tagNames) for r in plan.select("dir", F.from_json("json", X.SIDECAR).alias("d")).collect()}
+    assert got == saved(roots, existing, favorites, tags, ["u", "t"])
+
+
+def test_sidecars_are_streamed_and_committed_together(spark, tmp_path):
+    base = str(tmp_path)
+    for d in ("a", "a/b", "c"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "c" / ".m.json").write_text("old")
+    favorites = {f"{base}/a/{i}é\".jpg" for i in range(2000)} | {f"{base}/a/b/x.jpg"}
+    tags = {f"{base}/a/1é\".jpg": ["q\"", "t"], f"{base}/a/b/y.jpg": ["t"]}
+    args = ([base + "/a", base + "/c"], [base + "/a/b", base + "/c"], favorites, tags, ["t", "é"])
+    media.save_sidecars(*metadata(spark, *args), ".m.json")
+    found = X.parse_sidecars(media.sidecars(spark, [base + "/a", base + "/c", base + "/a/b"], ".m.json"))
+    got = {r.dir: (r.data.favorites, r.data.tags, r.data.tagNames) for r in found.collect()}
+    assert got == saved(*args)
+    # One dir of the job is missing: all files stay as they were, and no part is left.
+    with pytest.raises(Exception):
+        media.save_sidecars(*metadata(spark, [base + "/a", base + "/none"], [], favorites | {base + "/none/z.jpg"}, {}, []), ".m.json")
+    again = X.parse_sidecars(media.sidecars(spark, [base], ".m.json"))
+    assert {r.dir: (r.data.favorites, r.data.tags, r.data.tagNames) for r in again.collect()} == got
+    assert not [p for p in tmp_path.rglob("*.part")]
+
+
+def test_malformed_sidecars_are_left_out(spark):
+    rows = [("/a", '{"favorites":["x"],"tags":{"y":["t"]}'), ("/b", '{"favorites":"oops","tags":{"y":["t"]}}'), ("/c", "[1]"), ("/d", ""), ("/e", None), ("/f", '{"version":1}')]
+    got = {r.dir: r.data for r in X.parse_sidecars(spark.createDataFrame(rows, "dir string, json string")).collect()}
+    assert set(got) == {"/b", "/f"} and got["/b"].tags == {"y": ["t"]}
+
+
+def test_decoders_convert_or_give_nothing(spark):
+    files = spark.createDataFrame([(1, b"ab")], "path long, content binary")
+    assert decoders.raw_tags(files, lambda c: {"ISO": 100, "Lens": None}).first().raw_tags == {"ISO": "100", "Lens": None}
+    assert decoders.rasters(files, lambda c: "text").first().raster is None and decoders.rasters(files, lambda c: [1, 2]).first().raster == [1.0, 2.0]
+    assert decoders.raw_tags(files, lambda c: 5).first().raw_tags is None
