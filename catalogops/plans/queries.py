@@ -113,16 +113,20 @@ def _query(sql: str = ""):
 # -- scans, sets and counts
 
 
-@_query(_WITH + "SELECT doc_id, path FROM catalog WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, path FROM catalog WHERE source IN ('src2', 'src3')")
+def _overlapping(spark, sf_dir) -> list[DataFrame]:
+    """Two scans that cover the catalog and share the rows of one language."""
+    c = _catalog(spark, sf_dir).select("doc_id", "path", "type", "lang")
+    return [c.where((F.col("type") == t) | (F.col("lang") == "en")).drop("type", "lang") for t in ("image", "video")]
+
+
+@_query(_WITH + "SELECT doc_id, path FROM catalog WHERE type = 'image' OR lang = 'en' UNION ALL SELECT doc_id, path FROM catalog WHERE type = 'video' OR lang = 'en'")
 def scan_union(spark, sf_dir):
-    c = _catalog(spark, sf_dir).select("doc_id", "path", "source")
-    return C.union_scans([c.where(F.col("source").isin("src1", "src2")), c.where(F.col("source").isin("src2", "src3"))]).drop("source")
+    return C.union_scans(_overlapping(spark, sf_dir))
 
 
-@_query(_WITH + "SELECT DISTINCT path FROM catalog WHERE source IN ('src1', 'src2', 'src3')")
+@_query(_WITH + "SELECT DISTINCT path FROM catalog")
 def scan_union_distinct(spark, sf_dir):
-    c = _catalog(spark, sf_dir)
-    return C.union_scans([c.where(F.col("source").isin("src1", "src2")), c.where(F.col("source").isin("src2", "src3"))], "path").select("path")
+    return C.union_scans(_overlapping(spark, sf_dir), "path").select("path")
 
 
 @_query(_WITH + "SELECT doc_id, path FROM catalog UNION ALL SELECT doc_id, path FROM catalog WHERE type = 'video'")
@@ -162,10 +166,10 @@ def remove_paths(spark, sf_dir):
     return C.remove_paths(_catalog(spark, sf_dir).select("path"), _favorites(spark, sf_dir))
 
 
-@_query(_WITH + "SELECT doc_id, path FROM catalog WHERE doc_id % 3 > 0 OR doc_id % 2 = 0")
+@_query(_WITH + "SELECT doc_id, path FROM catalog")
 def append_absent(spark, sf_dir):
     c = _catalog(spark, sf_dir).select("doc_id", "path")
-    return C.append_absent(c.where("doc_id % 3 > 0"), c.where("doc_id % 2 = 0"))
+    return C.append_absent(c.where("doc_id % 3 > 0"), c.where("doc_id % 3 = 0 or doc_id % 2 = 0"))
 
 
 @_query(_WITH + "SELECT path FROM catalog WHERE source = 'src1' OR (source = 'src2' AND lang = 'en')")
@@ -228,10 +232,9 @@ def grid_page(spark, sf_dir):
     return C.grid_page(rows, _favorites(spark, sf_dir), _tags(spark, sf_dir), 5, 20, query="  N-1 ", only_favorites=True)
 
 
-@_query(_WITH + f", {_LIST} SELECT path, position FROM list WHERE position % 10 = 0 OR path LIKE '%-17.%'")
+@_query(_WITH + f", {_LIST} SELECT path, name, position FROM list")
 def playlist_positions(spark, sf_dir):
-    rows = _playlist(spark, sf_dir)
-    return rows.where((F.col("position") % 10 == 0) | F.col("path").contains("-17.")).select("path", "position")
+    return _playlist(spark, sf_dir).select("path", "name", "position")
 
 
 @_query(_WITH + f", {_LIST} SELECT path, position FROM list")
@@ -340,36 +343,36 @@ def dedupe_plan(spark, sf_dir):
 def _sidecars(spark, sf_dir) -> DataFrame:
     c = _catalog(spark, sf_dir)
     entry = lambda rel, tag: F.struct(rel.alias("rel"), F.array(F.lit(tag), "lang").alias("tags"))
-    shallow = c.where("doc_id % 3 = 0").select(F.concat(F.lit("/lib/"), "source").alias("dir"), entry(F.concat("lang", F.lit("/"), "name"), "new").alias("e"), F.col("type").alias("word"))
-    deep = c.where("doc_id % 2 = 0").select(F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang").alias("dir"), entry(F.concat(F.lit("./"), "name"), "old").alias("e"), F.col("lang").alias("word"))
-    rows = shallow.union(deep).groupBy("dir").agg(F.map_from_entries(F.collect_list("e")).alias("tags"), F.collect_list("e.rel").alias("favorites"), F.collect_set("word").alias("tagNames"))
+    part = F.floor(F.col("doc_id") / 500).alias("part")  # a dir's entries come in several files of bounded size
+    shallow = c.where("doc_id % 3 = 0").select(F.concat(F.lit("/lib/"), "source").alias("dir"), entry(F.concat("lang", F.lit("/"), "name"), "new").alias("e"), F.col("type").alias("word"), part)
+    deep = c.where("doc_id % 3 > 0 or doc_id % 2 = 0").select(F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang").alias("dir"), entry(F.concat(F.lit("./"), "name"), "old").alias("e"), F.col("lang").alias("word"), part)
+    rows = shallow.union(deep).groupBy("dir", "part").agg(F.map_from_entries(F.collect_list("e")).alias("tags"), F.collect_list("e.rel").alias("favorites"), F.collect_set("word").alias("tagNames"))
     return X.parse_sidecars(rows.select("dir", F.to_json(F.struct(F.lit(1).alias("version"), "favorites", "tags", "tagNames")).alias("json")))
 
 
-@_query(_WITH + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'new,' ELSE 'old,' END || lang AS tags FROM catalog WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@_query(_WITH + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'new,' ELSE 'old,' END || lang AS tags FROM catalog")
 def merged_tags(spark, sf_dir):
     return X.merged_tags(_sidecars(spark, sf_dir)).select("path", F.array_join("tags", ",").alias("tags"))
 
 
-@_query(_WITH + "SELECT path FROM catalog WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@_query(_WITH + "SELECT path FROM catalog")
 def merged_favorites(spark, sf_dir):
     return X.merged_favorites(_sidecars(spark, sf_dir))
 
 
-@_query(_WITH + "SELECT DISTINCT type AS tag FROM catalog WHERE doc_id % 3 = 0 UNION SELECT DISTINCT lang FROM catalog WHERE doc_id % 2 = 0")
+@_query(_WITH + "SELECT DISTINCT type AS tag FROM catalog WHERE doc_id % 3 = 0 UNION SELECT DISTINCT lang FROM catalog WHERE doc_id % 3 > 0 OR doc_id % 2 = 0")
 def vocabulary(spark, sf_dir):
     return X.vocabulary(_sidecars(spark, sf_dir))
 
 
 @_query(_WITH + """, owned AS (SELECT CASE WHEN lang = 'en' THEN '/lib/' || source || '/en' ELSE '/lib/' || source END AS dir, path FROM favorites JOIN catalog USING (path) WHERE source <> 'src0'),
-dirs AS (SELECT dir FROM owned UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en' AND source <> 'src0')
+dirs AS (SELECT dir FROM owned UNION SELECT CASE WHEN lang = 'en' THEN '/lib/' || source || '/en' ELSE '/lib/' || source END FROM tags JOIN catalog USING (path) WHERE source <> 'src0' UNION SELECT '/lib/' || source || '/en' FROM catalog WHERE lang = 'en' AND source <> 'src0')
 SELECT dirs.dir, count(path) AS n_favorites, coalesce(string_agg(substr(path, length(dirs.dir) + 2), ',' ORDER BY path), '') AS favorites FROM dirs LEFT JOIN owned ON owned.dir = dirs.dir GROUP BY dirs.dir""")
 def save_plan(spark, sf_dir):
     c = _catalog(spark, sf_dir)
     roots = c.where("source <> 'src0'").select(F.concat(F.lit("/lib/"), "source").alias("root")).distinct()
     existing = c.where("lang = 'en'").select(F.concat(F.lit("/lib/"), "source", F.lit("/en")).alias("dir")).distinct()
-    none = _tags(spark, sf_dir).where(F.size("tags") > 99)
-    plan = X.save_plan(_favorites(spark, sf_dir), none, c.select(F.col("lang").alias("tag")).distinct(), roots, existing)
+    plan = X.save_plan(_favorites(spark, sf_dir), _tags(spark, sf_dir), c.select(F.col("lang").alias("tag")).distinct(), roots, existing)
     fav = F.from_json("json", X.SIDECAR)["favorites"]
     return plan.select("dir", F.size(fav).cast("long").alias("n_favorites"), F.array_join(fav, ",").alias("favorites"))
 
