@@ -27,9 +27,9 @@ from tokenizers import Tokenizer
 from catalogops.llm.common import with_arrow
 
 #: Encoded words that a task remembers; when passed, it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Pairs of tokens of which a task remembers whether they stay apart.
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 500_000
 #: Characters of the texts whose distinct words make one trie; a longer text is still whole.
 TRIE_CHARS = 2 << 20
 #: Longer words are not remembered.
