@@ -15,6 +15,7 @@ import json
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -82,9 +83,69 @@ class MediaTree(DataSource):
         return _Reader(self.options)
 
 
+_WALK = "path string, name string, size long, mtime_ms long, status string, error string"
+
+
+def _listed(here: str, dots: bool):
+    """Rows of one dir: its files, the dirs in it, or why it cannot be read; links are not followed."""
+    if "://" in here:
+        yield from _listed_in_store(here, dots)
+        return
+    try:
+        entries = sorted(os.scandir(here), key=lambda e: e.name)
+    except OSError as e:
+        yield here, os.path.basename(here), None, None, "error", errno.errorcode.get(e.errno, type(e).__name__)
+        return
+    for e in entries:
+        if e.name.startswith(".") and not dots:
+            continue
+        if e.is_dir(follow_symlinks=False):
+            yield e.path, e.name, None, None, "dir", None
+        elif e.is_file(follow_symlinks=False):
+            try:
+                stat = e.stat(follow_symlinks=False)
+            except OSError:  # it went after the listing
+                continue
+            yield e.path, e.name, stat.st_size, int(stat.st_mtime * 1000), "file", None
+
+
+def _listed_in_store(here: str, dots: bool):
+    """The same for a dir that a URI names."""
+    from pyarrow import fs
+
+    try:
+        store, inside = fs.FileSystem.from_uri(here)
+        infos = sorted(store.get_file_info(fs.FileSelector(inside)), key=lambda i: i.base_name)
+    except OSError as e:
+        yield here, here.rsplit("/", 1)[-1], None, None, "error", errno.errorcode.get(e.errno, type(e).__name__)
+        return
+    scheme = here.removesuffix(inside)
+    for i in infos:
+        if i.base_name.startswith(".") and not dots:
+            continue
+        if i.type == fs.FileType.Directory:
+            yield scheme + i.path, i.base_name, None, None, "dir", None
+        elif i.type == fs.FileType.File:
+            yield scheme + i.path, i.base_name, i.size, None if i.mtime_ns is None else i.mtime_ns // 1_000_000, "file", None
+
+
 def scan(spark: SparkSession, root: str, include_dot: bool = False) -> DataFrame:
-    spark.dataSource.register(MediaTree)
-    return spark.read.format("media_tree").option("include_dot", str(include_dot)).load(root)
+    """Files and unreadable dirs below a root, in the columns of :class:`MediaTree`.
+
+    The tree is walked level by level.  The dirs of a level are dealt out anew, so one deep or wide branch is shared by
+    all tasks; each level is written, and its dirs never come to the driver.
+    """
+
+    def listed(frames):
+        for frame in frames:
+            yield pd.DataFrame([r for d in frame["dir"] for r in _listed(d, include_dot)], columns=["path", "name", "size", "mtime_ms", "status", "error"]).astype({"size": "Int64", "mtime_ms": "Int64"})
+
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "dir string")
+    levels = []
+    while not levels or not level.isEmpty():
+        levels.append(written(level.repartition("dir").mapInPandas(listed, _WALK), "walk"))
+        level = levels[-1].where("status = 'dir'").select(F.col("path").alias("dir"))
+    return functools.reduce(DataFrame.unionByName, levels).where("status <> 'dir'")
 
 
 def catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

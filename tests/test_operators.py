@@ -411,3 +411,26 @@ def test_decoders_convert_or_give_nothing(spark):
     assert decoders.raw_tags(files, lambda c: {"ISO": 100, "Lens": None}).first().raw_tags == {"ISO": "100", "Lens": None}
     assert decoders.rasters(files, lambda c: "text").first().raster is None and decoders.rasters(files, lambda c: [1, 2]).first().raster == [1.0, 2.0]
     assert decoders.raw_tags(files, lambda c: 5).first().raw_tags is None
+
+
+def test_deep_trees_are_walked_level_by_level(spark, tmp_path):
+    deep = tmp_path
+    for i in range(6):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        (deep / f"{i}.jpg").write_text("x" * i)
+    (tmp_path / "d0" / ".hidden").mkdir()
+    (tmp_path / "d0" / ".hidden" / "h.jpg").touch()
+    (tmp_path / "d0" / "link.jpg").symlink_to(deep / "5.jpg")
+    got = sorted((r.path, r.size) for r in media.scan(spark, str(tmp_path)).collect())
+    assert got == [(str(p), p.stat().st_size) for p in sorted(tmp_path.rglob("[0-9].jpg"))] and len(got) == 6
+    stored = media.scan(spark, f"file://{tmp_path}/d0/d1").collect()
+    assert sorted((r.path, r.size) for r in stored) == [(f"file://{p}", s) for p, s in got if "/d0/d1/" in p] and all(r.mtime_ms > 0 for r in stored)
+    assert [r.error for r in media.scan(spark, f"file://{tmp_path}/none").collect()] == ["ENOENT"]
+    tree = spark.read.format("media_tree").load(str(tmp_path))
+    assert sorted((r.path, r.size) for r in tree.where("status = 'file'").collect()) == got
+
+
+@pytest.fixture(autouse=True)
+def registered(spark):
+    spark.dataSource.register(media.MediaTree)
