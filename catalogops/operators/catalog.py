@@ -133,6 +133,21 @@ def position_of(playlist_: DataFrame, path: str) -> DataFrame:
     return playlist_.where(F.col("path") == path).select("path", "position")
 
 
+def store_playlist(playlist_: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write a numbered playlist as a table that is read by place or by path.
+
+    Files hold ranges of about ``rows_per_file`` places, whose bounds Parquet keeps, and a Bloom filter of their paths.
+    """
+    files = max(1, -(-playlist_.count() // rows_per_file))
+    ranged = playlist_.repartitionByRange(files, "position").sortWithinPartitions("position")
+    ranged.write.option("parquet.bloom.filter.enabled#path", "true").option("parquet.bloom.filter.adaptive.enabled", "true").mode("overwrite").parquet(path)
+
+
+def stored_page(stored: DataFrame, offset: int, n: int) -> DataFrame:
+    """Rows offset+1 to offset+n of a stored playlist without facets: only the files of these places are read."""
+    return stored.where(F.col("position").between(offset + 1, offset + n)).orderBy("position")
+
+
 def upload_status(events: DataFrame, allowed: tuple[str, ...] = S.UPLOADS, limit: int = MAX_UPLOAD, root_allowed: Column | None = None) -> DataFrame:
     """Uploads with ``reject_reason``, null where accepted; without an allowed root nothing is."""
     reason = F.when(~F.coalesce(root_allowed, F.lit(False)), "root") if root_allowed is not None else F

@@ -15,6 +15,7 @@ from catalogops.operators import duplicates as D
 from catalogops.operators import edits as E
 from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
+from catalogops.plans.staging import scratch_path
 from catalogops.sources import decoders
 from catalogops.streaming import streams as T
 
@@ -248,6 +249,15 @@ def playlist_position_of(spark, sf_dir):
     return C.position_of(_playlist(spark, sf_dir), wanted.path if wanted else None)
 
 
+@_query(_WITH + f", {_LIST} SELECT path, name, position FROM list WHERE position > 40 AND position <= 90 UNION ALL SELECT path, name, position FROM list WHERE path = (SELECT path FROM catalog WHERE doc_id = 17)")
+def stored_playlist(spark, sf_dir):
+    at = scratch_path(spark, "playlist")
+    C.store_playlist(_playlist(spark, sf_dir).select("path", "name", "position"), at)
+    stored = spark.read.parquet(at)
+    wanted = _catalog(spark, sf_dir).where("doc_id = 17").first()
+    return C.stored_page(stored, 40, 50).unionByName(stored.where(F.col("path") == (wanted.path if wanted else None)))
+
+
 # -- duplicates
 
 

@@ -434,3 +434,31 @@ def test_deep_trees_are_walked_level_by_level(spark, tmp_path):
 @pytest.fixture(autouse=True)
 def registered(spark):
     spark.dataSource.register(media.MediaTree)
+
+
+def scanned_rows(df):
+    """Rows that the file scans of a query have given."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            rows += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_stored_playlists_are_read_in_part(spark, tmp_path):
+    n = 40_000
+    rows = spark.range(1, n + 1).select(F.concat(F.lit("/lib/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"), F.col("id").alias("position"))
+    C.store_playlist(rows.repartition(4), str(tmp_path / "list"), 1000)
+    stored = spark.read.parquet(str(tmp_path / "list"))
+    page = C.stored_page(stored, 20_000, 50)
+    assert [r.position for r in page.collect()] == list(range(20_001, 20_051))
+    assert scanned_rows(page) <= n / 20
+    path = rows.where("position = 77").first().path
+    assert [tuple(r) for r in C.position_of(stored, path).collect()] == [(path, 77)]
