@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import bpe, chat, exact_dedup, filter_audit, gnat, jaccard_join, language_id, line_dedup, mixing, quality, secrets, span_dedup, spotsigs
+from catalogops.llm import bpe, chat, exact_dedup, filter_audit, gnat, jaccard_join, language_id, line_dedup, mixing, quality, secrets, signature_classes, span_dedup, spotsigs
 from catalogops.llm.common import table
 
 
@@ -29,7 +29,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.neighbour_fingerprints(docs, classes=signature_classes.near_classes(spotsigs.rows_of(docs)))
 
 
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

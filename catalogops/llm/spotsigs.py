@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import slices, with_arrow
+from catalogops.llm.common import bounded_batches, slices, with_arrow
 from catalogops.plans.staging import written
 
 #: Common words of English, German, French and Spanish.
@@ -129,28 +129,38 @@ def near_pairs(prints: DataFrame, id_col: str, threshold: float) -> tuple[DataFr
 
 
 def _compare(batches):
-    """Rows come sorted by bucket and descending id; each is joined with the one after it."""
+    """Rows come sorted by bucket and descending id; each is joined with the one after it.
+
+    A row without text comes ahead of the rows whose id and tag it bears and tells their class.
+    """
     hashes = _Hashes()
-    held = None  # bucket, id, text, signatures of the row that waits for its next
+    held = None  # bucket, and of the row that waits for its next: id, class, text, signatures
+    told = None  # id, tag, class of the last row without text
+    names = ("bucket", "carry", "id", "tag", "text", "class_id", "class_size")
     for batch in batches:
         for piece in slices(batch, "text"):
             out = []
-            for bucket, carry, doc, text in zip(*(piece.column(c).to_pylist() for c in ("bucket", "carry", "id", "text"))):
+            for bucket, carry, doc, tag, text, class_id, class_size in zip(*(piece.column(c).to_pylist() for c in names)):
+                if text is None:
+                    told = doc, tag, (class_id, class_size)
+                    continue
                 if carry and (held is None or held[0] != bucket):
                     continue  # another row of the same id has served as the next one
                 own = signatures(text, hashes)
                 if held and held[0] == bucket:
                     out.append(_edited(*held[1:], text, own, hashes))
-                held = None if carry else (bucket, doc, text, own)
+                known = told[2] if told and told[:2] == (doc, tag) else (None if doc == _LOWEST else doc, 1)
+                held = None if carry else (bucket, doc, known, text, own)
             yield pa.RecordBatch.from_pylist(out, _RESULT)
 
 
 _RESULT = pa.schema(
-    [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+     ("class_id", pa.int64()), ("class_size", pa.int64())]
 )
 
 
-def _edited(doc: int, text: str, own: np.ndarray, after: str, next_own: np.ndarray, hashes: dict) -> dict:
+def _edited(doc: int, known: tuple, text: str, own: np.ndarray, after: str, next_own: np.ndarray, hashes: dict) -> dict:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     changed = signatures(edited, hashes)
@@ -162,19 +172,23 @@ def _edited(doc: int, text: str, own: np.ndarray, after: str, next_own: np.ndarr
         "edited_fingerprint": fingerprint(changed),
         "near_edited": likeness(own, changed),
         "near_next": likeness(own, next_own),
+        "class_id": known[0],
+        "class_size": known[1],
     }
 
 
-def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its fingerprint, that of its text with the second half from the next row, and likenesses.
+def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: its fingerprint, that of its text with the second half from the next row, likenesses and its class.
 
-    The next row is that with the next smaller id, after the last the first; of equal ids the smaller text comes first and a
+    The next row is that with the next smaller id, after the last the first; equal ids are in the order of their texts' hashes and a
     null id is the last.  A null text is empty.  Ranges of ids are dealt out by
     quantiles, each with the row that follows it, so every text is shuffled once and no task sees the whole order.
+    ``classes`` are those of ``signature_classes.near_classes`` on :func:`rows_of`; they are dealt out with the texts.
+    A row without one is its own class of size 1.
     An empty table gives no rows; other columns are not used.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows_of(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_LOWEST)))
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("id", F.col("id").cast("double").alias("x"))
     cuts = sorted(set(ids.approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
@@ -183,11 +197,23 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     firsts = cut.transform(ids).groupBy("range").agg(F.max("id").alias("first")).orderBy(F.desc("range")).collect()
     follows = [(b["first"], int(a["range"])) for a, b in zip(firsts, firsts[1:] + firsts[:1])]
     carried = spark.createDataFrame(follows, "id long, before int")
-    placed = cut.transform(rows.withColumn("x", F.col("id").cast("double"))).select("id", "text", F.col("range").cast("int").alias("bucket"))
-    placed = placed.join(F.broadcast(carried), "id", "left")
+    put = lambda df: cut.transform(df.withColumn("x", F.col("id").cast("double"))).withColumn("bucket", F.col("range").cast("int"))
+    placed = put(rows).join(F.broadcast(carried), "id", "left")
     own = F.struct("bucket", F.lit(0).alias("carry"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("carry"))
-    dealt = placed.select("id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("p")).select("p.bucket", "p.carry", "id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "carry", F.desc("id"), "text")
-    out = ordered.mapInArrow(_compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = placed.select("id", "tag", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("p")).select("p.bucket", "p.carry", "id", "tag", "text")
+    none = F.lit(None).cast("long")
+    dealt = dealt.select("*", none.alias("class_id"), none.alias("class_size"))
+    if classes is not None:
+        told = put(classes.withColumn("id", F.coalesce("id", F.lit(_LOWEST))))
+        dealt = dealt.unionByName(told.select("bucket", F.lit(0).alias("carry"), "id", "tag", F.lit(None).cast("string").alias("text"), "class_id", "class_size"))
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "carry", F.desc("id"), "tag", "text")
+    bounded_batches(spark)
+    out = ordered.mapInArrow(_compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, class_size long")
     return out.select(F.when(F.col("id") != _LOWEST, F.col("id")).alias(id_col), *out.columns[1:])
+
+
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, tag, text)`` of ``docs``, null texts empty; the tag is a 64-bit hash of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
