@@ -31,16 +31,25 @@ def lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for names of an operator's own columns."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def lowest(df: DataFrame, chance: Column, rows: int, *order: str) -> DataFrame:
     """At most ``rows`` rows of ``df``, those with the lowest 64-bit hash ``chance`` (ties by ``order``).
 
     The count of all rows bounds the hash first, so that all tasks together sort little more than ``rows`` rows.
     """
-    marked = df.withColumn("__chance", chance)
+    mark = free_prefix(df) + "chance"
+    marked = df.withColumn(mark, chance)
     share = (1.2 * rows + 400) / max(marked.count(), 1)
     if share < 1:
-        marked = marked.where(F.col("__chance") <= F.lit(int(-(2**63) + share * 2**64)))
-    return marked.orderBy("__chance", *order).limit(rows).drop("__chance")
+        marked = marked.where(F.col(mark) <= F.lit(int(-(2**63) + share * 2**64)))
+    return marked.orderBy(mark, *order).limit(rows).drop(mark)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

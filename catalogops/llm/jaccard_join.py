@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import slices
+from catalogops.llm.common import free_prefix, slices
 from catalogops.operators.components import connected_components
 from catalogops.plans.staging import discard, written
 
@@ -482,18 +482,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     first = F.col("id").eqNullSafe(F.col("r.id")) & ((F.col("tag") == F.col("r.tag")) | F.col("id").isNull())
     found = _members(docs, id_col, text_col, n, percent).where(F.col("node").isNotNull() & first)
-    stay = written(found.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("__times")), "first-rows")
+    own = free_prefix(docs)
+    id_, tag, times, self_, hash_, row = (own + x for x in ("id", "tag", "times", "own", "hash", "row"))
+    stay = written(found.groupBy(F.col("id").alias(id_), F.col("tag").alias(tag)).agg(F.count("*").alias(times)), "first-rows")
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    keys = [F.col(id_col).cast("long").alias("__own"), F.xxhash64(text_col).alias("__hash")]
-    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tag"))
+    keys = [F.col(id_col).cast("long").alias(self_), F.xxhash64(text_col).alias(hash_)]
+    same = F.col(self_).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(tag))
     rows = docs.where(~wordless).select("*", *keys)
-    out = docs.where(wordless).unionByName(rows.join(stay.where("__times = 1").hint("shuffle_hash"), same).select(*docs.columns))
-    again = stay.where("__times > 1")
+    out = docs.where(wordless).unionByName(rows.join(stay.where(F.col(times) == 1).hint("shuffle_hash"), same).select(*docs.columns))
+    again = stay.where(F.col(times) > 1)
     if again.isEmpty():
         return out
     # Copies are combined map-side, before they meet what stays.
-    packed = rows.groupBy("__own", "__hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
-    return out.unionByName(packed.join(again.hint("shuffle_hash"), same).select("__row.*"))
+    packed = rows.groupBy(self_, hash_).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return out.unionByName(packed.join(again.hint("shuffle_hash"), same).select(f"{row}.*"))
 
 
 #: Sets, links and components of `documents` under the defaults, for DuckDB; all pairs that share a shingle are compared.

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import lower_az, slices, with_arrow
+from catalogops.llm.common import free_prefix, lower_az, slices, with_arrow
+from catalogops.llm.exact_dedup import misra_gries
 from catalogops.plans.staging import discard_path, scratch_path, written
 
 #: What is stripped from both ends of a line.
@@ -26,6 +27,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_DOCS = 10
 BATCHES = 4
 FANOUT = 2
+#: A key with over 2/HOT of all lines is met by a broadcast; also the most keys that are broadcast.
+HOT = 1024
 
 
 def line_key(line: str) -> str:
@@ -107,10 +110,10 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(run, "__id long, __tag long, at int, k binary, first boolean")
 
 
-def _drop_work():
+def _drop_work(text_name: str, drop_name: str):
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         texts, counts, gone = [], [], []
-        for text, drop in zip(batch.column("__text").to_pylist(), batch.column("__drop").to_pylist()):
+        for text, drop in zip(batch.column(text_name).to_pylist(), batch.column(drop_name).to_pylist()):
             lines = (text or "").split("\n")
             drop = set(drop or ())
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
@@ -132,20 +135,32 @@ def dedup_lines(
     lines becomes empty.  Columns named ``n_lines`` or ``n_dropped`` are
     replaced.  An empty table gives no rows.
     """
-    tagged = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__tag"), F.col(text_col).alias("__text"))
+    own = free_prefix(docs)
+    id_, tag, text, key, gone = (own + x for x in ("id", "tag", "text", "key", "drop"))
+    tagged = docs.select("*", F.col(id_col).cast("long").alias(id_), F.xxhash64(text_col).alias(tag), F.col(text_col).alias(text))
     batch = F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int").alias("batch")
-    lines = written(_lines(tagged.select("__id", "__tag", "__text"), min_chars).select("*", batch), "lines", "batch")
+    rows = tagged.select(F.col(id_).alias("__id"), F.col(tag).alias("__tag"), F.col(text).alias("__text"))
+    lines = written(_lines(rows, min_chars).select("*", batch), "lines", "batch")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for b in range(batches):
         runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("k"))
     frequent = written(runs.keys(), "frequent-lines")
     runs.close()
     drop = (
-        lines.join(frequent.hint("merge"), "k", "left_semi")
-        .groupBy(F.coalesce("__id", F.lit(-(2**63))).alias("__key"), "__tag")
-        .agg(F.collect_set("at").alias("__drop"))
+        _frequent_lines(lines, frequent)
+        .groupBy(F.coalesce("__id", F.lit(-(2**63))).alias(key), F.col("__tag").alias(tag))
+        .agg(F.collect_set("at").alias(gone))
     )
     # Equal texts under one id give the same numbers, so a set of them serves each of those rows.
-    joined = tagged.withColumn("__key", F.coalesce("__id", F.lit(-(2**63)))).join(drop.hint("shuffle_hash"), ["__key", "__tag"], "left").drop("__key", "__tag", "__id", text_col)
-    out = with_arrow(joined, f"`{text_col}` string, n_lines long, n_dropped long", "__text", _drop_work, drop=("__text", "__drop"))
+    joined = tagged.withColumn(key, F.coalesce(id_, F.lit(-(2**63)))).join(drop.hint("shuffle_hash"), [key, tag], "left").drop(key, tag, id_, text_col)
+    out = with_arrow(joined, f"`{text_col}` string, n_lines long, n_dropped long", text, lambda: _drop_work(text, gone), drop=(text, gone))
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+
+
+def _frequent_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of ``lines`` with a key of ``frequent``; keys of very many rows are met by a broadcast of at most ``HOT`` keys, the others by a shuffle."""
+    total = lines.count()
+    maybe = misra_gries(lines, "k", HOT).where(F.col("seen") * HOT >= total).select("k")
+    hot = written(maybe.join(frequent.hint("merge"), "k", "left_semi"), "hot-lines")
+    rest = lines.join(F.broadcast(hot), "k", "left_anti")
+    return lines.join(F.broadcast(hot), "k", "left_semi").unionByName(rest.join(frequent.hint("merge"), "k", "left_semi"))
