@@ -57,7 +57,8 @@ class LineRuns:
         """Take in a batch: one row ``k`` for each line hash and document of the batch."""
         fresh = lines.groupBy("k").agg(F.count("*").alias("n"))
         for run in self.frequent:
-            fresh = fresh.join(run.select("k").hint("merge"), "k", "left_anti")
+            # Not "left_anti": the optimizer moves that below the aggregate, and then a hot line's rows all meet in one task uncombined.
+            fresh = fresh.join(run.select("k", F.lit(True).alias("known")).hint("merge"), "k", "left").where("known IS NULL").drop("known")
         self._push(0, self._run(fresh))
 
     def _push(self, level: int, run: DataFrame) -> None:
