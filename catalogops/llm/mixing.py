@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogops.llm.common import free_prefix
 from catalogops.plans.staging import written
 
 #: Most sources whose rates are broadcast; above it both sides are shuffled, the sources spread by SALTS.
@@ -75,27 +76,29 @@ def mix(
     so rows that repeat an id are repeated alike.  A null id or source is a
     value like any other.  The rows are dealt to partitions by ``shuffle_key`` and sorted by it within each:
     read one after another, the partitions are one random order.  Columns named
-    ``copy`` or ``shuffle_key`` are replaced.  An empty table gives no rows.
+    ``copy`` or ``shuffle_key``, in either case, are replaced; others keep their names and values.  An empty table gives no rows.
     """
+    own = free_prefix(docs)
+    source, n_parts, sums, salt, of, n = (own + x for x in ("source", "parts", "sums", "salt", "of", "n"))
     per_source = rates(docs, source_col, weights, rows, power)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int")
-    table = per_source.select(F.col("source").alias("__source"), parts.alias("__parts"), poisson_table(F.col("rate") / parts).alias("__sums")).where("rate > 0")
+    table = per_source.select(F.col("source").alias(source), parts.alias(n_parts), poisson_table(F.col("rate") / parts).alias(sums)).where("rate > 0")
     table = written(table, "poisson-tables")
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rows_ = docs.select(*kept)
     if table.count() <= broadcast_sources:
-        joined = rows_.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__source")))
+        joined = rows_.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col(source)))
     else:
-        salted = rows_.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        spread = table.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__of")))
+        salted = rows_.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        spread = table.withColumn(of, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(spread.hint("merge"), F.col(source_col).eqNullSafe(F.col(source)) & (F.col(salt) == F.col(of)))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col(n_parts)),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("__sums", lambda s: s <= uniform(name, F.lit(str(seed)), j.cast("string")))),
+        lambda total, j: total + F.size(F.filter(sums, lambda s: s <= uniform(name, F.lit(str(seed)), j.cast("string")))),
     )
-    counted = joined.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    counted = joined.withColumn(n, count).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = counted.select(*kept, "copy", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("copy").cast("string"))).alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
