@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogops.functions import scalars as S
 from catalogops.operators.components import connected_components
+from catalogops.operators.near_hashes import near_links, packed
 from catalogops.plans.staging import written
 
 #: Most bits of a sketch of sizes: half a megabyte.
@@ -71,6 +72,17 @@ def duplicate_groups(digests: DataFrame) -> DataFrame:
     return rows.join(groups.hint("merge"), "hash", "left_semi").select("hash", "path")
 
 
+def _representatives(hashes: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """``(hash, rep)``, the smallest path of each hash, and pairs ``(a, b)`` of it and the hash's other paths.  Raises where hashes differ in length."""
+    # Written before it is filtered, so that a filter does not work the hashes out a second time.
+    rows = written(hashes.select("path", "hash"), "hashes").dropna()
+    wrong = rows.where(F.length("hash") != digits).limit(1).collect()
+    if wrong:
+        raise ValueError(f"hashes must have {digits} digits")
+    reps = rows.groupBy("hash").agg(F.min("path").alias("rep"))
+    return reps, rows.join(reps.hint("merge"), "hash").where("path != rep").select(F.col("rep").alias("a"), F.col("path").alias("b"))
+
+
 def hash_pairs(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame:
     """Pairs ``(a, b)`` of rows ``(path, hash)`` whose hashes differ in at most ``threshold`` digits.
 
@@ -78,27 +90,32 @@ def hash_pairs(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame
     digits two near hashes share one, so bands meet by an equi-join and the
     distance decides.  Raises where hashes differ in length.
     """
-    # Written before it is filtered, so that a filter does not work the hashes out a second time.
-    rows = written(hashes.select("path", "hash"), "hashes").dropna()
-    wrong = rows.where(F.length("hash") != digits).limit(1).collect()
-    if wrong:
-        raise ValueError(f"hashes must have {digits} digits")
-    reps = rows.groupBy("hash").agg(F.min("path").alias("rep"))
-    same = rows.join(reps.hint("merge"), "hash").where("path != rep").select(F.col("rep").alias("a"), F.col("path").alias("b"))
-    packed = written(reps.select("rep", "hash", S.pack_digits(F.col("hash")).alias("w")), "packed-hashes")
+    reps, same = _representatives(hashes, digits)
+    words = written(reps.select("rep", "hash", S.pack_digits(F.col("hash")).alias("w")), "packed-hashes")
     bands = min(threshold + 1, digits)
     cuts = [i * digits // bands for i in range(bands + 1)]
     parts = F.array(*[F.struct(F.lit(i).alias("no"), F.substring("hash", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("v")) for i in range(bands)])
-    banded = packed.select("rep", "w", F.explode(parts).alias("band"))
+    banded = words.select("rep", "w", F.explode(parts).alias("band"))
     left = banded.select(F.col("rep").alias("a"), F.col("w").alias("x"), "band")
     right = banded.select(F.col("rep").alias("b"), F.col("w").alias("y"), "band")
     near = left.join(right.hint("merge"), "band").where((F.col("a") < F.col("b")) & (S.digit_distance(F.col("x"), F.col("y")) <= threshold)).select("a", "b").distinct()
     return same.unionByName(near)
 
 
+def hash_links(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame:
+    """Pairs ``(a, b)`` that join what all pairs of :func:`hash_pairs` join, without making these; hashes are hexadecimal."""
+    reps, same = _representatives(hashes, digits)
+    # Written before it is used, since the numbers of the nodes are not the same a second time.
+    rows = written(packed(reps.withColumn("node", F.monotonically_increasing_id()), digits), "packed-hashes")
+    links = written(near_links(rows, threshold, digits), "hash-links")
+    name = lambda node, path: rows.select(F.col("node").alias(node), F.col("rep").alias(path)).hint("merge")
+    named = links.select(F.col("a").alias("m"), F.col("b").alias("n")).join(name("m", "a"), "m").join(name("n", "b"), "n").where("a != b")
+    return same.unionByName(named.select("a", "b"))
+
+
 def similar_groups(hashes: DataFrame, threshold: int, digits: int = 64) -> DataFrame:
     """``(path, group_id)`` of groups of more than one, linked through near hashes; the group is its smallest path."""
-    pairs = written(hash_pairs(hashes, threshold, digits), "hash-pairs")
+    pairs = written(hash_links(hashes, threshold, digits), "hash-pairs")
     return connected_components(pairs, "a", "b").select(F.col("node").alias("path"), F.col("component").alias("group_id"))
 
 
