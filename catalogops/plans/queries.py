@@ -6,6 +6,10 @@ in the shapes of a catalog; SQL views of the same name do so for DuckDB.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from catalogops.operators import duplicates as D
 from catalogops.operators import edits as E
 from catalogops.operators import manifests as M
 from catalogops.operators import metadata as X
-from catalogops.plans.staging import scratch_path
+from catalogops.plans.staging import bounded_batches, scratch_path
 from catalogops.sources import decoders
 from catalogops.streaming import streams as T
 
@@ -80,16 +84,44 @@ _MEMBERS = f"""WITH {_GROUPS}, members AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY area DESC NULLS LAST, size DESC NULLS LAST, path) AS rank FROM members)"""
 
 
+class _Bins(dict):
+    """Word to the first byte of its digest."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = hashlib.md5(word).digest()[0]
+        return got
+
+
+def _histograms(batches):
+    """Rows ``(doc_id, words)``: how many words fall into each of 256 bins; an edge of white space has an empty word beyond it."""
+    bins, space = _Bins(), b" \t\n\x0b\f\r"
+    for batch in batches:
+        ids, text = batch.column("doc_id"), batch.column("words")
+        for low in range(0, batch.num_rows, 256):
+            found = []
+            for x in text.slice(low, 256):
+                x = x.as_py()
+                words = x.split()
+                words += [b""] * ((x[:1] in space) + (x[-1:] in space) if x else 1)
+                found.append(np.bincount(np.frombuffer(bytes(map(bins.__getitem__, words)), np.uint8), minlength=256).astype(np.int32))
+            flat = pa.array(np.concatenate(found))
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 256, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([ids.slice(low, 256), counts], ["doc_id", "counts"])
+        # Workers are used again by later stages, and do not keep what this one has freed.
+        pa.default_memory_pool().release_unused()
+
+
 def _histogram_hashes(spark, sf_dir) -> DataFrame:
     d = _read(spark, sf_dir, "documents")
-    words = d.select("doc_id", F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("w"))
-    bins = words.groupBy("doc_id", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int").alias("bin")).count()
-    # Counts come in order of their bins, each after zeros for the bins that the text lacks.
-    counts = bins.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bin", F.col("count").cast("double").alias("n")))).alias("s"))
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    gap = lambda x, i: x.bin - F.when(i == 0, -1).otherwise(F.get("s", i - 1).bin) - 1
-    raster = F.concat(F.flatten(F.transform("s", lambda x, i: F.concat(zeros(gap(x, i)), F.array(x.n)))), zeros(255 - F.element_at("s", -1).bin))
-    return counts.select(F.col("doc_id").alias("path"), S.block_hash(raster).alias("hash"))
+    bounded_batches(spark)
+    words = d.where("text is not null").select("doc_id", F.trim(F.lower("text")).cast("binary").alias("words"))
+    rows = words.mapInArrow(_histograms, f"doc_id {dict(words.dtypes)['doc_id']}, counts array<int>")
+    # Rows that share an id are one document.
+    both = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", 0), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    counts = rows.groupBy("doc_id").agg(F.collect_list("counts").alias("all"))
+    return counts.select(F.col("doc_id").alias("path"), S.block_hash(both).alias("hash"))
 
 
 _HASHES = r"""WITH RECURSIVE words AS (SELECT doc_id, unnest(string_split_regex(trim(lower(text)), '\s+')) AS w FROM documents),

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+#: Bytes of a batch that Spark hands to Python; a single larger row is still whole.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -68,3 +70,11 @@ def discard_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in _written:
         _written.remove(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand batches of at most ``BATCH_BYTES`` (or one row) to Python in this session, if it would hand larger ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")  # a user's own setting with a unit stays
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

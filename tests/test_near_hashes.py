@@ -69,3 +69,20 @@ def test_near_hashes_are_not_paired_by_a_join(spark):
     rows = [(f"p{i:03}", f"{i:04x}" + "0" * 12) for i in range(400)]
     assert D.hash_links(spark.createDataFrame(rows, "path string, hash string"), 15, 16).count() < 20 * 400
     assert {r.group_id for r in D.similar_groups(spark.createDataFrame(rows, "path string, hash string"), 15, 16).collect()} == {"p000"}
+
+
+def test_block_hashes_do_not_explode_words(spark, tmp_path):
+    texts = [(1, "b a a"), (1, "c\n"), (2, " a a b c "), (3, ""), (4, None), (5, "\tÄ x"), (6, "ä x\n\n y "), (7, "\n")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q._histogram_hashes(spark, str(tmp_path))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    words = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("w"))
+    counts = {}
+    for r in words.select("doc_id", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int").alias("bin")).collect():
+        counts.setdefault(r.doc_id, [0] * 256)[r.bin] += 1
+    expected = {}
+    for doc, bins in counts.items():
+        middles = [sum(sorted(bins[b * 64 : b * 64 + 64])[31:33]) / 2 for b in range(4)]
+        bits = "".join("1" if n > middles[i // 64] else "0" for i, n in enumerate(bins))
+        expected[doc] = f"{int(bits, 2):064x}"
+    assert {r.path: r.hash for r in got.collect()} == expected
