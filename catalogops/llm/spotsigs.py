@@ -128,6 +128,16 @@ def near_pairs(prints: DataFrame, id_col: str, threshold: float) -> tuple[DataFr
     return both.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= threshold - 1e-12), membership
 
 
+def packed_text(text: str) -> bytes:
+    """A text in UTF-8 as zstd, after its length in bytes."""
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unpacked_text(packed: bytes) -> str:
+    return pa.Codec("zstd").decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True).decode()
+
+
 def _compare(batches):
     """Rows come sorted by bucket and descending id; each is joined with the one after it.
 
@@ -136,16 +146,17 @@ def _compare(batches):
     hashes = _Hashes()
     held = None  # bucket, and of the row that waits for its next: id, class, text, signatures
     told = None  # id, tag, class of the last row without text
-    names = ("bucket", "carry", "id", "tag", "text", "class_id", "class_size")
+    names = ("bucket", "carry", "id", "tag", "packed", "class_id", "class_size")
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "packed"):
             out = []
-            for bucket, carry, doc, tag, text, class_id, class_size in zip(*(piece.column(c).to_pylist() for c in names)):
-                if text is None:
+            for bucket, carry, doc, tag, packed, class_id, class_size in zip(*(piece.column(c).to_pylist() for c in names)):
+                if packed is None:
                     told = doc, tag, (class_id, class_size)
                     continue
                 if carry and (held is None or held[0] != bucket):
                     continue  # another row of the same id has served as the next one
+                text = unpacked_text(packed)
                 own = signatures(text, hashes)
                 if held and held[0] == bucket:
                     out.append(_edited(*held[1:], text, own, hashes))
@@ -182,7 +193,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     The next row is that with the next smaller id, after the last the first; equal ids are in the order of their texts' hashes and a
     null id is the last.  A null text is empty.  Ranges of ids are dealt out by
-    quantiles, each with the row that follows it, so every text is shuffled once and no task sees the whole order.
+    quantiles, each with the row that follows it, so every text is shuffled once, packed by zstd, and no task sees the whole order.
     ``classes`` are those of ``signature_classes.near_classes`` on :func:`rows_of`; they are dealt out with the texts.
     A row without one is its own class of size 1.
     An empty table gives no rows; other columns are not used.
@@ -198,16 +209,17 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     follows = [(b["first"], int(a["range"])) for a, b in zip(firsts, firsts[1:] + firsts[:1])]
     carried = spark.createDataFrame(follows, "id long, before int")
     put = lambda df: cut.transform(df.withColumn("x", F.col("id").cast("double"))).withColumn("bucket", F.col("range").cast("int"))
-    placed = put(rows).join(F.broadcast(carried), "id", "left")
+    pack = lambda: lambda batch: [pa.array(map(packed_text, batch.column("text").to_pylist()), pa.binary())]
+    placed = put(with_arrow(rows, "packed binary", "text", pack, drop=("text",))).join(F.broadcast(carried), "id", "left")
     own = F.struct("bucket", F.lit(0).alias("carry"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("carry"))
-    dealt = placed.select("id", "tag", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("p")).select("p.bucket", "p.carry", "id", "tag", "text")
+    dealt = placed.select("id", "tag", "packed", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("p")).select("p.bucket", "p.carry", "id", "tag", "packed")
     none = F.lit(None).cast("long")
     dealt = dealt.select("*", none.alias("class_id"), none.alias("class_size"))
     if classes is not None:
         told = put(classes.withColumn("id", F.coalesce("id", F.lit(_LOWEST))))
-        dealt = dealt.unionByName(told.select("bucket", F.lit(0).alias("carry"), "id", "tag", F.lit(None).cast("string").alias("text"), "class_id", "class_size"))
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "carry", F.desc("id"), "tag", "text")
+        dealt = dealt.unionByName(told.select("bucket", F.lit(0).alias("carry"), "id", "tag", F.lit(None).cast("binary").alias("packed"), "class_id", "class_size"))
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "carry", F.desc("id"), "tag", "packed")
     bounded_batches(spark)
     out = ordered.mapInArrow(_compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, class_size long")
     return out.select(F.when(F.col("id") != _LOWEST, F.col("id")).alias(id_col), *out.columns[1:])

@@ -99,3 +99,38 @@ def test_frequent_signatures_are_found(spark):
     df = spark.createDataFrame([(4, bytes(s)) for s in sets] + [(4, None)], "n long, sigs binary").repartition(3)
     names, seen = signature_classes.frequent_signatures(df, 8)
     assert names.tolist() == [7, 9] and (seen <= 200).all()
+
+
+def _shuffled(spark, work):
+    """Bytes that the stages of ``work`` wrote for shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    work()
+    return sum(n for i, n in stages().items() if i > before)
+
+
+def test_signatures_shared_by_chance_are_not_shuffled_further(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"the w{i} x{i}" for i in rng.sample(range(1200), 200)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DDL).coalesce(2)
+    found = []
+    moved = _shuffled(spark, lambda: found.append(signature_classes.near_classes(spotsigs.rows_of(docs)).count()))
+    assert moved < 3 * sum(map(len, texts))  # 7 times with keys of single signatures
+    assert found == [0]
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(2)
+    for count in (1, 2, 5000):
+        keys, places = rng.integers(0, 2**64, count, np.uint64), rng.integers(0, 1 << 16, count)
+        keys[-1] = keys[0]
+        got = [(part, *signature_classes.unpacked_keys(*rest)) for part, *rest in signature_classes.packed_keys(keys, places, 7)]
+        short = keys >> np.uint64(64 - signature_classes.KEY_BITS)
+        assert sorted(zip(short.tolist(), places.tolist())) == sorted((k, p) for _, ks, ps in got for k, p in zip(ks.tolist(), ps.tolist()))
+        assert all((ks * np.uint64(7) >> np.uint64(signature_classes.KEY_BITS) == part).all() for part, ks, _ in got)
